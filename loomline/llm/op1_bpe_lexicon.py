@@ -38,7 +38,7 @@ from loomline.llm.shared import gathered, put_file, ship
 #: Words that the lexicon holds at most, distinct words that a task keeps while it counts.
 LEXICON_WORDS, COUNTED_WORDS = 60_000, 150_000
 #: Bytes of text that are worked on at a time; the longest word that the numpy merger takes.
-TEXT_BYTES, LONGEST = 12 << 20, 200
+TEXT_BYTES, LONGEST = 6 << 20, 200
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -237,26 +237,42 @@ def encode_words(words: list[bytes], path: str, lexicon: Lexicon | None) -> list
     return out
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, file: str | None) -> Iterator[pa.RecordBatch]:
+def _rows(key: pa.ChunkedArray, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    rows = pa.RecordBatch.from_arrays([key.combine_chunks(), *columns.values()], ["key", *columns])
+    for at in range(0, rows.num_rows, 1000):
+        yield rows.slice(at, 1000)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, file: str | None, back: bool = False) -> Iterator[pa.RecordBatch]:
     lexicon = _lexicon(file) if file else None
     for table in gathered(batches, "text", TEXT_BYTES):
         texts = [(t or "").encode().split() for t in table.column("text").to_pylist()]
         distinct = list(set().union(*texts)) if texts else []
         code = dict(zip(distinct, encode_words(distinct, path, lexicon), strict=True)).__getitem__
         ids = [b"".join(map(code, words)) for words in texts]
-        rows = pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(ids, type=pa.binary())], ["key", "ids"])
-        for at in range(0, rows.num_rows, 1000):
-            yield rows.slice(at, 1000)
+        del texts, distinct, code
+        columns = {"ids": pa.array(ids, type=pa.binary())}
+        if back:
+            columns["decoded"] = pa.array(decode_ids(ids, path), type=pa.string())
+        yield from _rows(table.column("key"), **columns)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=2)
+def _names(path: str) -> list[str]:
     tokenizer = bpe.library(path)
-    names = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    return [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+
+def decode_ids(ids: list[bytes | None], path: str) -> list[str]:
+    """The text of each list of ids: its tokens with a space between, as the library decodes."""
+    name = _names(path).__getitem__
+    return [" ".join(map(name, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in ids]
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for table in gathered(batches, "ids", TEXT_BYTES):
-        texts = [" ".join([names[i] for i in np.frombuffer(x or b"", dtype="<u4").tolist()]) for x in table.column("ids").to_pylist()]
-        rows = pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("key", "ids")), pa.array(texts, type=pa.string())], ["key", "ids", "decoded"])
-        for at in range(0, rows.num_rows, 1000):
-            yield rows.slice(at, 1000)
+        ids = table.column("ids")
+        yield from _rows(table.column("key"), ids=ids.combine_chunks(), decoded=pa.array(decode_ids(ids.to_pylist(), path), type=pa.string()))
 
 
 # --- corpus words --------------------------------------------------------------
@@ -310,7 +326,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Each row's key, ``ids`` and ``decoded``: its tokens with a space between, as the library decodes."""
+    """Each row's key, ``ids`` and ``decoded``."""
     ship(encoded.sparkSession)
     kind = encoded.schema[key].dataType.simpleString()
     return (
@@ -320,9 +336,20 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     )
 
 
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lexicon: str | None = None) -> DataFrame:
+    """As :func:`encode`, then :func:`decode` of those ids in the same worker."""
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    return (
+        docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+        .mapInArrow(lambda it: _encoded(it, path, lexicon, True), f"key {kind}, ids binary, decoded string")
+        .withColumnRenamed("key", key)
+    )
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """The round trip's digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, path, lexicon=build_lexicon(docs, path)), path)
+    both = round_trip(docs, path, lexicon=build_lexicon(docs, path))
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

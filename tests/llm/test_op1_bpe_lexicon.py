@@ -46,6 +46,12 @@ def test_round_trip_equals_the_library(spark):
         assert rows[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_decode_of_encode_is_the_round_trip(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    apart = op.decode(op.encode(docs, PATH), PATH)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, op.round_trip(docs, PATH).collect()))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op.digests(docs, PATH).collect() == []
