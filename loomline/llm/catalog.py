@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import op1_bpe_lexicon, op7_linear_grouping
+from loomline.llm import op1_bpe_lexicon, op4_neighbour_quality, op7_linear_grouping, op8_pu_toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return op1_bpe_lexicon.digests(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of whole documents."""
+    return op4_neighbour_quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of whole documents."""
+    return op8_pu_toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents into sequences of 2048 tokens."""
     return op7_linear_grouping.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -27,7 +37,9 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_lexicon": op1_bpe,
+        "op4_neighbour_quality": op4_quality,
         "op7_linear_grouping": op7_packing,
+        "op8_pu_toxicity": op8_toxicity,
     }
 
 
