@@ -3,11 +3,12 @@
 A linear model over words and their beginnings is trained in numpy from texts known to
 be toxic and from unlabelled texts, of which a share that is known, the class prior,
 is toxic too. The risk of taking unlabelled texts for clean is corrected by that share
-of the toxic texts' risk, and kept from falling below zero: where it would, the step
-goes against that part, so the model does not learn single texts by heart.
+of the toxic texts' risk, and kept from falling below zero: where it would, a step
+follows the toxic texts' own risk alone, so the model learns no single texts by heart.
 
 Samples are bounded: :data:`POSITIVES` toxic and :data:`UNLABELLED` unlabelled rows. The
-unlabelled texts are taken without their labels. Scoring reads whole texts and looks up
+unlabelled texts are taken without their labels, from the rows that are not held out: what
+chance puts into the toxic sample is then in the other one too. Scoring reads whole texts and looks up
 each distinct word once; no text is cut.
 
 Defined results: a null or empty text scores as one without known words (near 0); without
@@ -130,8 +131,7 @@ def train(positive: list[str], rest: list[str], prior: float, steps: int = 400,
             g[is_p] = prior * (s[is_p] - 1) / np_ - prior * s[is_p] / np_
             g[~is_p] = s[~is_p] / nu
         else:
-            g[is_p] = prior * s[is_p] / np_
-            g[~is_p] = -s[~is_p] / nu
+            g[is_p] = prior * (s[is_p] - 1) / np_
         grad = np.append(np.bincount(column, weights=g[row], minlength=len(names)) + decay * w, g.sum())
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad**2
@@ -171,7 +171,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of the third of rows held out are not read."""
-    model = fit(docs, labels.where(remainder("doc_id", 3) != 1))
+    own = remainder("doc_id", 3) != 1
+    model = fit(docs.where(own), labels.where(own))
     return score(docs, model).select(
         "doc_id",
         (remainder("doc_id", 3) == 1).alias("held_out"),
@@ -183,7 +184,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, whose text scores below :data:`TOXIC`."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(remainder("doc_id", 3) != 1)))
+    own = remainder("doc_id", 3) != 1
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(own), labels.where(own)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _scored(batches, shared):
