@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import op1_bpe_lexicon, op4_neighbour_quality, op7_linear_grouping, op8_pu_toxicity
+from loomline.llm import op1_bpe_lexicon, op4_neighbour_quality, op5_minmax_dedup, op7_linear_grouping, op8_pu_toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return op4_neighbour_quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates among whole documents: three words, similarity 0.85."""
+    return op5_minmax_dedup.near_duplicates(_table(spark, folder, "documents"), 3, 85)
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of whole documents."""
     return op8_pu_toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -38,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_lexicon": op1_bpe,
         "op4_neighbour_quality": op4_quality,
+        "op5_minmax_dedup": op5_near,
         "op7_linear_grouping": op7_packing,
         "op8_pu_toxicity": op8_toxicity,
     }
