@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import op1_bpe_lexicon, op4_neighbour_quality, op5_minmax_dedup, op7_linear_grouping, op8_pu_toxicity
+from loomline.llm import op1_bpe_lexicon, op3_paragraph_dedup, op4_neighbour_quality, op5_minmax_dedup, op7_linear_grouping, op8_pu_toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return op1_bpe_lexicon.digests(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated paragraphs of whole documents: where each is and which one stays."""
+    return op3_paragraph_dedup.removals(_table(spark, folder, "documents"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of whole documents."""
     return op4_neighbour_quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -42,6 +47,7 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_lexicon": op1_bpe,
+        "op3_paragraph_dedup": op3_substrings,
         "op4_neighbour_quality": op4_quality,
         "op5_minmax_dedup": op5_near,
         "op7_linear_grouping": op7_packing,

@@ -46,14 +46,14 @@ def set_key(shingles: np.ndarray) -> bytes:
 class MinMax:
     """Both ends of a set under random permutations: two values from one evaluation.
 
-    A band joins the least and the greatest hash of ``rows / 2`` permutations, so two
-    sets of similarity J agree in a band with a chance of about J to the power ``rows``.
+    A band joins ``rows`` of the values, least and greatest hash of a permutation by turns,
+    so two sets of similarity J agree in a band with a chance of about J to that power.
     """
 
     def __init__(self, bands: int, rows: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        n = bands * rows // 2
+        n = -(-bands * rows // 2)
         self.a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, n, dtype=np.uint64)
 
@@ -71,7 +71,8 @@ class MinMax:
         """One signed 64-bit bucket key for each band."""
         low, high = self.ends(shingles)
         k = np.arange(1, self.bands + 1, dtype=np.uint64) * _C
-        for part in (*low.reshape(self.bands, -1).T, *high.reshape(self.bands, -1).T):
+        values = np.stack([low, high], axis=1).ravel()[: self.bands * self.rows]
+        for part in values.reshape(self.bands, self.rows).T:
             k = _mixed(k * _A + part)
         return k.view(np.int64)
 
