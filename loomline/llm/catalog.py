@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import op1_bpe_lexicon, op3_paragraph_dedup, op4_neighbour_quality, op5_minmax_dedup, op7_linear_grouping, op8_pu_toxicity
+import corpus_pipeline
+from loomline.llm import (
+    op1_bpe_lexicon,
+    op2_host_paths,
+    op3_paragraph_dedup,
+    op4_neighbour_quality,
+    op5_minmax_dedup,
+    op7_linear_grouping,
+    op8_pu_toxicity,
+    op9_license_rules,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +30,11 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return op1_bpe_lexicon.digests(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of whole pages."""
+    return op2_host_paths.extract(_table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated paragraphs of whole documents: where each is and which one stays."""
     return op3_paragraph_dedup.removals(_table(spark, folder, "documents"))
@@ -44,16 +60,24 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return op7_linear_grouping.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence rules that whole documents match."""
+    return op9_license_rules.scan(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_lexicon": op1_bpe,
+        "op2_host_paths": op2_html,
         "op3_paragraph_dedup": op3_substrings,
         "op4_neighbour_quality": op4_quality,
         "op5_minmax_dedup": op5_near,
         "op7_linear_grouping": op7_packing,
         "op8_pu_toxicity": op8_toxicity,
+        "op9_license_rules": op9_licenses,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_rules": op9_license_rules.sql()}

@@ -106,9 +106,13 @@ def train(positive: list[str], rest: list[str], prior: float, steps: int = 400,
     """Non-negative PU learning with the logistic loss, full steps by Adam."""
     if not positive:
         return Model({}, -30.0)
-    sets = _documents(positive)
-    common = Counter({f: c for f, c in Counter(f for s in sets for f in s).items() if c >= 3})
-    sets += _documents(rest, common)
+    of = lru_cache(maxsize=_MEMO)(features)
+    every: Counter[str] = Counter()
+    for t in positive:
+        every.update({f for w in set(t.lower().split()) for f in of(w)})
+    common = Counter({f: c for f, c in every.items() if c >= 3})
+    del every, of
+    sets = _documents([*positive, *rest], common)
     names = _chosen(common, len(positive), sets[len(positive) :])
     place = {f: i for i, f in enumerate(names)}
     rows, columns = [], []
