@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomline.llm import (
     op1_bpe_lexicon,
+    op10_chroma_fingerprints,
     op2_host_paths,
     op3_paragraph_dedup,
     op4_neighbour_quality,
     op5_minmax_dedup,
+    op6_permutation_index,
     op7_linear_grouping,
     op8_pu_toxicity,
     op9_license_rules,
 )
+from loomline.llm.shared import written
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +68,18 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return op9_license_rules.scan(_table(spark, folder, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose id is divisible by 20, among all rows."""
+    return op6_permutation_index.every_twentieth(_table(spark, folder, "embeddings"))
+
+
+def op10_audio(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings played as melodies: recordings that align with every twentieth one."""
+    op = op10_chroma_fingerprints
+    marks = written(op.fingerprints(_table(spark, folder, "embeddings"), "vec_id", "embedding", render=True), "marks")
+    return op.matches(marks, marks.where("id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_lexicon": op1_bpe,
@@ -75,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_linear_grouping": op7_packing,
         "op8_pu_toxicity": op8_toxicity,
         "op9_license_rules": op9_licenses,
+        "op6_permutation_index": op6_neighbours,
+        "op10_chroma_fingerprints": op10_audio,
         "pipeline": corpus_pipeline.run,
     }
 
