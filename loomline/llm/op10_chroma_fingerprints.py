@@ -6,10 +6,10 @@ sums of neighbouring areas; sixteen of them, each of four levels, make a packed
 of 32 bits for every place. Recordings that share integers are aligned by the histogram of
 their offsets; the best offset is confirmed by the share of bits that differ.
 
-Integers are joined by value. One that very many recordings have (a held note) says
-little but may not be dropped: such values are spread over their right neighbours, as
-pairs of integers in a row, until they are rare or the recording ends; so a hot value
-makes no hot task, and recordings that are alike still meet at every place but there.
+Integers are joined by value, each alone. One that very many recordings have (a held note)
+says little but may not be dropped: its places are joined in blocks, so a hot value makes
+no hot task, and no pair of equal integers is left out. Every offset of a pair that has a
+vote is checked by its bits. The work grows with the pairs of equal integers.
 
 The tables hold no audio: :func:`rendered` is a documented stand-in that plays a vector
 as a melody, one note for each number. Everything after it works on WAV bytes.
@@ -28,10 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.shared import ship, written
+from loomline.llm.similar import small
 
 RATE, FRAME, HOP, WIDTH = 11025, 4096, 2048, 8
 #: Filters: kind, lowest pitch class, height, width in frames.
@@ -42,6 +43,8 @@ FILTERS = [
 LEVELS = np.array([-0.12, 0.0, 0.12])
 #: Share of differing bits up to which an alignment holds; integers it must have at least.
 ERRORS, OVERLAP = 0.3, 10
+#: Integers that are compared at a time.
+COMPARED = 1 << 20
 
 
 def rendered(values: list[float] | None) -> bytes | None:
@@ -151,50 +154,77 @@ def fingerprints(media: DataFrame, key: str, audio: str, render: bool = False) -
     )
 
 
-def _places(marks: DataFrame, often: int, longest: int = 4) -> DataFrame:
-    """Places of integers, hot ones as runs of 2, then 4 integers: id, at, value."""
-    parts, left = [], marks.select("id", F.posexplode("marks").alias("at", "one"), "marks").select("id", "at", F.col("one").alias("value"), "marks")
-    size = 1
-    while True:
-        left = written(left, "places")
-        hot = left.groupBy("value").count().where(F.col("count") > often).select("value")
-        if size >= longest:
-            parts.append(left.select("id", "at", "value"))
-            break
-        hot = written(hot, "hot")
-        parts.append(left.join(hot, "value", "left_anti").select("id", "at", "value"))
-        size *= 2
-        run = F.slice("marks", F.col("at") + 1, size)
-        left = left.join(hot, "value", "left_semi").where(F.size("marks") >= F.col("at") + size).select("id", "at", F.xxhash64(run).alias("value"), "marks")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+def _met(own: DataFrame, places: DataFrame, often: int) -> DataFrame:
+    """Places of equal value, of a query and of another recording.
+
+    Values of more than ``often`` places are joined in blocks of about ``often`` places on
+    either side; each pair of places meets in one block.
+    """
+    hot = places.groupBy("value").count().where(F.col("count") > often).select("value", F.ceil(F.col("count") / often).alias("blocks"))
+    asked = own.join(hot, "value").groupBy("value", "blocks").agg(F.ceil(F.count("*") / often).alias("parts"))
+    hot = small(written(asked, "hot"))
+    blocks, parts = (F.coalesce(c, F.lit(1).cast("long")) for c in ("blocks", "parts"))
+
+    def numbers(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    a = own.join(hot, "value", "left").withColumn("part", F.pmod(F.xxhash64("query_id", "place"), parts)).withColumn("block", numbers(blocks))
+    b = places.join(hot, "value", "left").withColumn("block", F.pmod(F.xxhash64("id", "at"), blocks)).withColumn("part", numbers(parts))
+    met = a.select("query_id", "place", "value", "block", "part").join(b.select("id", "at", "value", "block", "part"), ["value", "block", "part"])
+    return met.where("query_id != id")
+
+
+def _errors(x: pa.ListArray, y: pa.ListArray, row: np.ndarray, x0: np.ndarray, y0: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Differing bits of ``n`` integers of each ``row``, from ``x0`` and ``y0`` on."""
+    p, q = (c.values.to_numpy(zero_copy_only=False).astype(np.uint32) for c in (x, y))
+    p0, q0 = (c.offsets.to_numpy().astype(np.int64)[row] + at for c, at in ((x, x0), (y, y0)))
+    ends, out, at = np.cumsum(n), np.zeros(len(n), dtype=np.int64), 0
+    while at < len(n):
+        done = ends[at] - n[at]
+        to = max(at + 1, int(np.searchsorted(ends, done + COMPARED, "right")))
+        size = n[at:to]
+        starts = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(starts, size)
+        bits = np.bitwise_count(p[np.repeat(p0[at:to], size) + inner] ^ q[np.repeat(q0[at:to], size) + inner])
+        out[at:to] = np.add.reduceat(bits, starts, dtype=np.int64)
+        at = to
     return out
 
 
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y, tops = batch.column("x"), batch.column("y"), batch.column("tops")
+        row = np.repeat(np.arange(batch.num_rows), tops.value_lengths().to_numpy())
+        offset, votes = (tops.flatten().field(c).to_numpy() for c in ("offset", "votes"))
+        x0, y0 = np.maximum(offset, 0), np.maximum(-offset, 0)
+        n = np.minimum(x.value_lengths().to_numpy()[row] - x0, y.value_lengths().to_numpy()[row] - y0)
+        use = n >= OVERLAP
+        row, offset, votes, x0, y0, n = (v[use] for v in (row, offset, votes, x0, y0, n))
+        rate = np.floor(_errors(x, y, row, x0, y0, n) / (32 * n) * 1e6 + 0.5) / 1e6
+        use = rate <= ERRORS
+        row, offset, votes, n, rate = (v[use] for v in (row, offset, votes, n, rate))
+        order = np.lexsort((offset, -votes, row))
+        best = order[np.diff(row[order], prepend=-1) > 0]
+        ids = [batch.column(c).take(pa.array(row[best])) for c in ("query_id", "id")]
+        values = [pa.array(v[best].astype(t)) for v, t in ((offset, "i8"), (votes, "i8"), (n, "i4"), (rate, "f8"))]
+        yield pa.RecordBatch.from_arrays([*ids, *values], ["query_id", "id", "offset", "votes", "overlap", "error_rate"])
+
+
 def matches(marks: DataFrame, queries: DataFrame, often: int = 2000) -> DataFrame:
     """Recordings that align with a query: query_id, id, offset, votes, overlap, error_rate.
 
-    ``offset`` is the query's place less the other's. One row for each pair: of offsets with
-    equal votes the least. Both tables have ``id`` and ``marks``.
+    ``offset`` is the query's place less the other's. One row for each pair: of the offsets
+    that hold the one with the most votes, of equal votes the least. Both tables have ``id``
+    and ``marks``; ``often`` is the size of a block and changes no result.
     """
+    ship(marks.sparkSession)
     marks = written(marks.where("size(marks) > 0").dropDuplicates(["id"]), "marks")
-    asked = queries.select(F.col("id").alias("query_id")).distinct()
-    places = written(_places(marks, often), "index")
-    own = places.join(asked, places.id == asked.query_id).select("query_id", F.col("at").alias("place"), "value")
-    met = own.join(places, "value").where("query_id != id")
-    histogram = met.groupBy("query_id", "id", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = histogram.where("votes > 1").groupBy("query_id", "id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("less"))).alias("top"))
-    best = best.select("query_id", "id", (-F.col("top.less")).alias("offset"), F.col("top.votes").alias("votes"))
-    a = marks.select(F.col("id").alias("query_id"), F.col("marks").alias("x"))
-    both = best.join(a, "query_id").join(marks.withColumnRenamed("marks", "y"), "id")
-    x0, y0 = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    n = F.least(F.size("x") - x0, F.size("y") - y0)
-    both = both.withColumn("overlap", n).where(F.col("overlap") >= OVERLAP)
-    bits = F.aggregate(
-        F.zip_with(F.slice("x", x0 + 1, F.col("overlap")), F.slice("y", y0 + 1, F.col("overlap")), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
-        F.lit(0),
-        lambda s, b: s + b,
-    )
-    rate = both.withColumn("error_rate", F.round(bits / (32 * F.col("overlap")), 6))
-    return rate.where(F.col("error_rate") <= ERRORS).select("query_id", "id", "offset", "votes", "overlap", "error_rate")
+    asked = written(queries.select(F.col("id").alias("query_id")).distinct(), "asked")
+    places = written(marks.select("id", F.posexplode("marks").alias("at", "value")), "index")
+    own = written(places.join(asked, places.id == asked.query_id).select("query_id", F.col("at").alias("place"), "value"), "own")
+    histogram = _met(own, places, often).groupBy("query_id", "id", (F.col("place") - F.col("at")).cast("long").alias("offset")).agg(F.count("*").alias("votes"))
+    pairs = histogram.groupBy("query_id", "id").agg(F.collect_list(F.struct("offset", "votes")).alias("tops"))
+    a = marks.join(asked, marks.id == asked.query_id).select("query_id", F.col("marks").alias("x"))
+    both = pairs.join(small(a), "query_id").join(marks.withColumnRenamed("marks", "y"), "id")
+    schema = "query_id long, id long, offset long, votes long, overlap int, error_rate double"
+    return both.select("query_id", "id", "tops", "x", "y").mapInArrow(_aligned, schema)

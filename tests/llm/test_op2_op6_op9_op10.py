@@ -87,6 +87,19 @@ def test_recordings_align(spark):
     assert op10.samples(b"RIFFxx").size == 0 and op10.fingerprint(None).size == 0
 
 
+def test_one_shared_integer_is_enough_however_often_it_is_held(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**32, 30)
+    noisy = x ^ (1 << rng.integers(0, 32, 30))
+    noisy[7] = x[7]
+    rows = [(0, x), (1, noisy), (2, np.append(noisy[:29], x[0])), (3, noisy[4:])]
+    rows += [(20 + i, np.append(rng.integers(0, 2**32, 12), x[7])) for i in range(30)]
+    marks = spark.createDataFrame([(i, [int(v) for v in m]) for i, m in rows], "id long, marks array<long>")
+    for often in (1, 3, 2000):
+        got = sorted((r.query_id, r.id, r.offset, r.votes, r.overlap) for r in op10.matches(marks, marks.where("id % 20 = 0"), often).collect())
+        assert got == [(0, 1, 0, 1, 30), (0, 2, 0, 1, 30), (0, 3, 4, 1, 26)]
+
+
 def test_fingerprint_survives_noise_and_volume():
     rng = np.random.default_rng(3)
     x = rng.normal(size=64).tolist()
