@@ -110,6 +110,39 @@ def test_paragraphs_are_removed_but_once(spark):
     assert out[1].text == rows[0][1] and out[2].n_chars == len(out[2].text) and out[5].text == rows[4][1]
 
 
+def test_passages_are_found_wherever_lines_break(spark):
+    rng = random.Random(8)
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    p, q, r, s, one = words(rng, 51), words(rng, 55), words(rng, 50), words(rng, 49), words(rng, 60)
+    new = lambda n: words(rng, n)
+    before, after, tail = new(150), new(150), new(30)
+    rows = [
+        (1, wrap(new(70) + p + new(70), 12)),
+        (2, wrap(new(75) + [w.upper() for w in p] + new(64), 9)),
+        (3, " ".join(new(200) + q + new(200))),
+        (4, "é top\n" + " ".join(before + q + after) + "\nend"),
+        (5, " ".join(new(90) + r)),
+        (6, " ".join(tail + r)),
+        (7, " ".join(new(90) + s)),
+        (8, " ".join(new(90) + s)),
+        (9, "same " * 120),
+        (10, wrap(one, 10)),
+        (11, "head\n\n" + wrap(one[:30] + ["other"] + one[31:], 10) + "\n\nfoot"),
+        (6, "another text of this id"),
+    ]
+    docs = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, version string")
+    out = [(r.doc_id, r.text) for r in op3.cleaned(docs).collect()]
+    assert (6, " ".join(tail)) in out and rows[11] in out
+    got = dict(o for o in out if o != rows[11])
+    for i in (1, 3, 5, 7, 8, 10):
+        assert got[i] == rows[[k for k, _ in rows].index(i)][1]
+    assert got[2].split() == rows[1][1].split()[:75] + rows[1][1].split()[126:]
+    assert got[4] == "é top\n" + " ".join(before + after) + "\nend"
+    assert got[9].split() == ["same"] * 50 and got[11] == "head\n\n\nfoot"
+    kept = {(r.doc_id, r.kept_doc_id) for r in op3.removals(docs).collect()}
+    assert kept == {(2, 1), (4, 3), (6, 5), (9, 9), (11, 10)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert op5.near_duplicates(docs).collect() == [] and op5.keep_one(docs).collect() == []
