@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences, which are normalised (lower case, letters and digits) and
-looked up in a table of known licence sentences. A licence rule is an ordered list of
+A text is normalised (lower case, letters and digits) but for its breaks: line breaks, and
+the ends of sentences. A known licence sentence is found where its words lie between two
+breaks, whatever breaks, blank lines or comment signs lie among them; the longest counts. A licence rule is an ordered list of
 sentence identifiers; it matches where they follow one another among the text's
 identifiers, whatever unknown sentences lie between. The tables are constants, so the
 whole scan is one projection: nothing is shuffled, however skewed the rows are.
@@ -65,12 +66,13 @@ def _chain(ids: list[int]) -> str:
 def identifiers(text: Column) -> Column:
     """The known sentences of a text as one string ``<id><id>...``, in order."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normal(s), f"<{i}>")])
-    longest = 2 * max(map(len, SENTENCES.values()))
-    lines = F.split(F.regexp_replace(text, r"([.!?:])[ \t\r\n]+", "$1\n"), "\n")
-    # a sentence of twice the longest one's length is none of the known: it isn't normalised
-    own = F.filter(lines, lambda s: F.length(s).between(10, longest))
-    ids = F.transform(own, lambda s: F.element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    return F.array_join(ids, "")  # leaves nulls out
+    # all breaks as one line break each, all else that is no letter or digit as one space
+    lines = F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), r"([.!?:])[ \t\r\n]+", "$1\n")
+    lines = F.regexp_replace(F.regexp_replace(F.lower(lines), "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+    each = "|".join(sorted((normal(s).replace(" ", "[ \n]") for s in SENTENCES.values()), key=len, reverse=True))
+    own = F.regexp_extract_all(lines, F.lit(f"(?<=\n)({each})(?=\n)"), F.lit(1))
+    ids = F.transform(own, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
+    return F.array_join(ids, "")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import numpy as np
 
@@ -69,6 +70,25 @@ def test_licenses(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_wrapped_licenses(spark):
+    s = op9.SENTENCES
+    wrapped = lambda t, mark: "\n".join(mark + line for line in textwrap.wrap(t, 70))
+    apache = "/*\n" + wrapped(s[11], " * ") + "\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n */"
+    texts = [
+        apache,
+        wrapped(s[1], "") + "\n\n" + wrapped(s[2], ""),
+        wrapped(s[21], "# ") + "\n#\n" + wrapped(s[22], "# "),
+        "Head\r\n" + wrapped(s[40], "// ").replace("\n", "\r\n") + "\r\n" + wrapped(s[41], "// "),
+        s[3] + " " + "*" * 5000,
+        "No title\n" + s[3] + "\nmore",
+        "It is not " + s[3],
+        s[11].replace("2.0 ", "2.0\n"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.rule) for r in op9.scan(docs).collect())
+    assert got == [(0, "apache-2-header"), (1, "mit-text"), (2, "gpl-3-header"), (3, "bsd-2-text"), (3, "bsd-3-text"), (4, "mit-notice"), (5, "mit-notice")]
+
+
 def test_recordings_align(spark):
     rng = random.Random(1)
     a = [rng.gauss(0, 0.2) for _ in range(64)]
