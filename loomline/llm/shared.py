@@ -52,6 +52,16 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(spark: SparkSession, *frames: DataFrame) -> None:
+    """Between two steps: delete what ``frames`` hold and let Spark drop the shuffles of finished steps.
+
+    Spark deletes a shuffle's files once the driver has collected what refers to it, which it
+    may not do for long where the driver itself does little.
+    """
+    discard(*frames)
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Write ``data`` to the shared folder and hand it to every executor; returns its file name."""
     file = f"{uuid.uuid4().hex[:12]}-{name}"

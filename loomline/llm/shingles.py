@@ -20,27 +20,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(own: list[bytes], size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``size`` words.
+def hashed(own: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), dtype=np.uint64, count=len(own))
 
-    Fewer words are one shingle, the whole sequence; no words are the empty set.
-    """
-    n = len(own)
-    if not n:
-        return np.empty(0, dtype=np.uint64)
-    if n < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(own), seed=n)], dtype=np.uint64)
-    h = np.array(list(map(xxhash.xxh3_64_intdigest, own)), dtype=np.uint64)
-    total = h[: n - size + 1].copy()
-    for i in range(1, size):
-        total = _mixed(total * _A + h[i : n - size + 1 + i])
-    total = np.sort(total)
-    return total[np.append(True, total[1:] != total[:-1])]
 
+def sets_of(h: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of ``size`` words of each range [first, last) of hashed words.
 
-def set_key(shingles: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+    The sets lie one after another; returns their items and their starts. No range is empty;
+    one of fewer words than ``size`` is one shingle, the whole sequence.
+    """
+    n = len(first)
+    many = np.maximum(last - first - size + 1, 1)
+    ends = np.cumsum(many)
+    items = np.empty(int(ends[-1]) if n else 0, dtype=np.uint64)
+    whole = last - first >= size
+    total = np.empty(0, dtype=np.uint64)
+    if whole.any():
+        total = h[: len(h) - size + 1].copy()
+        for i in range(1, size):
+            total = _mixed(total * _A + h[i : len(h) - size + 1 + i])
+    owner = np.repeat(np.arange(n), many)
+    for a, b, w, to, m in zip(first.tolist(), last.tolist(), whole.tolist(), ends.tolist(), many.tolist(), strict=True):
+        if w:
+            part = items[to - m : to]
+            part[:] = total[a : a + m]
+            part.sort()
+        else:
+            x = np.array([b - a], dtype=np.uint64)
+            for y in h[a:b]:
+                x = _mixed(x * _A + y)
+            items[to - 1] = x[0]
+    keep = np.ones(len(items), dtype=bool)
+    keep[1:] = (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])
+    counts = np.bincount(owner[keep], minlength=n)
+    return items[keep], np.cumsum(counts) - counts
+
+
+def set_keys(items: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """128 bits that stand for each set."""
+    view, to = memoryview(items.tobytes()), np.append(starts, len(items)) * 8
+    return [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+
+
+def parts(items: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The bytes of each set."""
+    raw, to = items.tobytes(), np.append(starts, len(items)) * 8
+    return [raw[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
 
 
 class MinMax:
@@ -57,24 +84,26 @@ class MinMax:
         self.a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, n, dtype=np.uint64)
 
-    def ends(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest value under each permutation, of a set that is not empty."""
-        low = high = None
-        for at in range(0, len(shingles), 2048):
-            v = shingles[at : at + 2048, None] * self.a + self.b
-            lo, hi = v.min(axis=0), v.max(axis=0)
-            low = lo if low is None else np.minimum(low, lo)
-            high = hi if high is None else np.maximum(high, hi)
-        return low, high
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One signed 64-bit bucket key for each band."""
-        low, high = self.ends(shingles)
-        k = np.arange(1, self.bands + 1, dtype=np.uint64) * _C
-        values = np.stack([low, high], axis=1).ravel()[: self.bands * self.rows]
-        for part in values.reshape(self.bands, self.rows).T:
-            k = _mixed(k * _A + part)
-        return k.view(np.int64)
+    def signed(self, items: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys (one signed 64-bit number a band) and signatures (one byte a value) of sets.
+
+        The sets lie one after another in ``items``, none is empty; ``starts`` has their places.
+        """
+        n, used = len(starts), self.bands * self.rows
+        values = np.empty((len(self.a) * 2, n), dtype=np.uint64)
+        if n:
+            for i, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
+                v = items * a
+                v += b
+                values[2 * i] = np.minimum.reduceat(v, starts)
+                values[2 * i + 1] = np.maximum.reduceat(v, starts)
+        keys = np.empty((n, self.bands), dtype=np.int64)
+        for band in range(self.bands):
+            k = np.full(n, band + 1, dtype=np.uint64) * _C
+            for r in range(self.rows):
+                k = _mixed(k * _A + values[band * self.rows + r])
+            keys[:, band] = k.view(np.int64)
+        return keys, np.ascontiguousarray((_mixed(values[:used]) & np.uint64(255)).astype(np.uint8).T)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:

@@ -4,12 +4,19 @@ Sets that share a bucket key are candidates. A bucket's members are first compar
 its least member alone (a star, never all pairs); confirmed links are clustered. Only
 members of one bucket that lie in different components and have not been compared can
 still hold a link; those few are paired in a second step, in large buckets only if they
-share a second key as well. So no link between different sets is lost but by the chance
-that two similar sets share no key (or, in such a large bucket, one alone).
+share a second key as well. Candidates whose signatures agree in far fewer places than
+two sets as similar as asked for would are left out before their sets are fetched
+(:func:`least_agreeing`: a similar pair is lost with a chance below 1e-9).
+
+A link between different sets is then lost by chance alone: two sets of similarity 0.85
+share no key of 24 bands of 4 values with a chance of 2e-8, and exactly one with 5e-7,
+which counts if that one bucket has more than :data:`PAIRED` members left over; for 0.8 and
+14 bands of 3 values these are 3e-5 and 5e-4.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,17 +26,35 @@ from pyspark.sql import functions as F
 
 from loomline.llm import shingles
 from loomline.llm.components import components
-from loomline.llm.shared import ship, written
+from loomline.llm.shared import discard, settled, ship, written
 
-#: Rows of ids that may be broadcast (16 MB); more of them are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes as stored, of a table that may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 8 << 20
 #: Members of a bucket that are paired directly in the second step.
 PAIRED = 40
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it has at most :data:`BROADCAST_ROWS` rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, a written table, marked for broadcast if its rows and bytes are within the bounds."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def least_agreeing(values: int, percent: int, chance: float = 1e-9) -> int:
+    """Places that two signatures of ``values`` places agree in at least, but for ``chance``."""
+    p, total = percent / 100, 0.0
+    for k in range(values + 1):
+        total += math.comb(values, k) * p**k * (1 - p) ** (values - k)
+        if total > chance:
+            return k
+    return values
+
+
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least_agreeing(x.shape[1], percent)))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -43,37 +68,45 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """``pairs`` (a, b) with ``x`` and ``y``, the ``value`` of either."""
+    joined = pairs.join(values.select(F.col("id").alias("b"), F.col(value).alias("y")), "b")
+    return joined.join(values.select(F.col("id").alias("a"), F.col(value).alias("x")), "a").select("a", "b", "x", "y")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b), those whose ``sets`` (id, items) are similar to ``percent`` or more."""
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    joined = joined.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
+    return _with(pairs, sets, "items").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
 
 
 def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Components of similar units, and the links that were confirmed.
 
-    ``units`` is a written table with distinct ``id``, set size ``n`` and ``keys``;
-    ``sets_of`` gives ``id`` and ``items`` (sorted 64-bit numbers) for a table of ids.
+    ``units`` is a written table with distinct ``id``, set size ``n``, ``keys`` and signature
+    ``sig``; ``sets_of`` gives ``id`` and ``items`` (sorted 64-bit numbers) for a table of ids.
     Returns (node, component) for units with a link, and links (a, b).
     """
-    ship(units.sparkSession)
+    spark = units.sparkSession
+    ship(spark)
     members = units.select("id", "n", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("size > 1")
     buckets = written(buckets, "buckets")
+    settled(spark)
     crowded = buckets.where("size > 2").select("key", "lo")
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     twos = buckets.where("size = 2").select(F.col("lo.id").alias("a"), F.col("lo.n").alias("n"), F.col("hi.id").alias("b"), F.col("hi.n").alias("m"))
     held = written(members.join(small(crowded), "key"), "members")
     stars = held.where("id != lo.id").select(F.col("lo.id").alias("a"), F.col("lo.n").alias("n"), F.col("id").alias("b"), F.col("n").alias("m"))
     tried = written(twos.union(stars).where(alike).select("a", "b").distinct(), "pairs")
-    links = written(_linked(tried, sets_of, percent), "links")
+    settled(spark, buckets)
+    links = _linked(tried, units, sets_of, percent)
     found = written(components(links), "components")
 
     # what is left: members of one bucket in different components
     placed = held.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("left")).where("x != y").select("key", "left")
     rest = written(placed.join(several, "key").select("key", "left", "id", "n", "component"), "rest")
+    settled(spark, held)
     direct = rest.where(F.col("left") <= PAIRED).withColumn("second", F.lit(0).cast("long"))
     large = rest.where(F.col("left") > PAIRED)
     second = units.select("id", F.explode("keys").alias("second"))
@@ -83,15 +116,24 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     more = each.join(other, ["key", "second"]).where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & alike)
     more = more.select(F.col("id").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = written(more, "pairs")
+    settled(spark, rest, tried)
     if more.isEmpty():
         return found, links
-    extra = written(_linked(more, sets_of, percent), "links")
+    extra = _linked(more, units, sets_of, percent)
+    discard(more)
     if extra.isEmpty():
+        discard(extra)
         return found, links
+    discard(found)
     links = links.union(extra)
     return written(components(links), "components"), links
 
 
-def _linked(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return confirm(pairs, written(sets_of(written(ids, "ids")), "sets"), percent)
+def _linked(pairs: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    likely = written(_with(pairs, units, "sig").mapInArrow(lambda it: _likely(it, percent), "a long, b long"), "likely")
+    if likely.isEmpty():
+        return likely
+    sets = written(sets_of(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()), "sets")
+    links = written(confirm(likely, sets, percent), "links")
+    settled(pairs.sparkSession, likely, sets)
+    return links
