@@ -74,10 +74,10 @@ def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings played as melodies: recordings that align with every twentieth one."""
+    """Embeddings played as melodies: each one's links with every twentieth, or as one of them."""
     op = op10_chroma_fingerprints
     marks = written(op.fingerprints(_table(spark, folder, "embeddings"), "vec_id", "embedding", render=True), "marks")
-    return op.matches(marks, marks.where("id % 20 = 0"))
+    return op.linked(marks, marks.where("id % 20 = 0"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

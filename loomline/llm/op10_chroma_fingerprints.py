@@ -15,8 +15,13 @@ The tables hold no audio: :func:`rendered` is a documented stand-in that plays a
 as a melody, one note for each number. Everything after it works on WAV bytes.
 
 Defined results: null, empty or broken bytes and recordings shorter than the filters have
-no integers and match nothing; repeated rows are recordings of their own only if their
-ids differ; an empty table gives an empty table; other columns are ignored.
+no integers and match nothing, as do samples of other than 16 bits; of a recording that is
+cut what is whole counts; repeated rows of one id are one recording; an empty table gives
+an empty table; other columns are ignored.
+
+Alignments of all recordings are as many as the square of their number where they are all
+alike, so :func:`linked` returns a row for each recording: its class of equal recordings,
+its component, its number of links, and its best alignment with another class.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import ship, written
+from loomline.llm.components import components
+from loomline.llm.shared import settled, ship, written
 from loomline.llm.similar import small
 
 RATE, FRAME, HOP, WIDTH = 11025, 4096, 2048, 8
@@ -47,32 +53,38 @@ ERRORS, OVERLAP = 0.3, 10
 COMPARED = 1 << 20
 
 
+@lru_cache(maxsize=1)
+def _notes() -> list[bytes]:
+    t = np.arange(HOP) / RATE
+    tones = [220 * 2 ** (k / 12) for k in range(-18, 19)]
+    return [((np.sin(2 * np.pi * f * t) + 0.5 * np.sin(4 * np.pi * f * t)) * 12000).astype("<i2").tobytes() for f in tones]
+
+
 def rendered(values: list[float] | None) -> bytes | None:
-    """A vector as a melody in WAV: each number a note of 0.19 s on a whole-tone ladder."""
+    """A vector as a melody in WAV: each number a note of 0.19 s on a ladder of semitones."""
     if not values:
         return None
     x = np.array([0.0 if v is None or not np.isfinite(v) else v for v in values])
-    t = np.arange(HOP) / RATE
-    tones = 220 * 2 ** (np.clip(np.round(x * 40), -18, 18) / 12)
-    sound = np.concatenate([np.sin(2 * np.pi * f * t) + 0.5 * np.sin(4 * np.pi * f * t) for f in tones])
+    notes = _notes()
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(RATE)
-        w.writeframes((sound * 12000).astype("<i2").tobytes())
+        w.writeframes(b"".join([notes[k] for k in (np.clip(np.round(x * 40), -18, 18) + 18).astype(int)]))
     return out.getvalue()
 
 
 def samples(audio: bytes | None) -> np.ndarray:
-    """Mono samples at :data:`RATE` of 16-bit PCM; none for bytes that are no such recording."""
+    """Mono samples at :data:`RATE` of 16-bit PCM, what is whole of a cut recording; none for other bytes (24-bit ones too)."""
     try:
         with wave.open(io.BytesIO(audio or b""), "rb") as w:
             if w.getsampwidth() != 2 or not w.getframerate():
                 return np.empty(0, dtype=np.float32)
             n, rate = w.getnchannels(), w.getframerate()
-            x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2")
-    except (wave.Error, EOFError):
+            raw = w.readframes(w.getnframes())
+            x = np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<i2")
+    except (wave.Error, EOFError, ValueError):
         return np.empty(0, dtype=np.float32)
     x = x[: len(x) // n * n].reshape(-1, n).mean(axis=1).astype(np.float32) / 32768
     if rate != RATE and len(x):
@@ -228,3 +240,41 @@ def matches(marks: DataFrame, queries: DataFrame, often: int = 2000) -> DataFram
     both = pairs.join(small(a), "query_id").join(marks.withColumnRenamed("marks", "y"), "id")
     schema = "query_id long, id long, offset long, votes long, overlap int, error_rate double"
     return both.select("query_id", "id", "tops", "x", "y").mapInArrow(_aligned, schema)
+
+
+def linked(marks: DataFrame, asked: DataFrame, often: int = 2000) -> DataFrame:
+    """One row for each recording with integers, of its links with or as one of ``asked`` (id).
+
+    id, class_id (least id of equal recordings), component_id (least id that links reach), links
+    (other recordings it aligns with), and of the other classes that its class aligns with
+    the one with the fewest errors, then most votes, then least id: best_id, offset, votes,
+    overlap, error_rate (null where there is none). A recording aligns with its equals.
+    """
+    spark = marks.sparkSession
+    marks = marks.where("size(marks) > 0").dropDuplicates(["id"])
+    rows = marks.join(small(written(asked.select("id").distinct().withColumn("asked", F.lit(1)), "asked")), "id", "left")
+    rows = written(rows.select("id", F.coalesce("asked", F.lit(0)).alias("asked"), "marks"), "recordings")
+    classes = rows.groupBy("marks").agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.sum("asked").alias("queries"))
+    classes = written(classes, "classes")
+    members = written(rows.join(classes.select("marks", "class_id"), "marks").select("id", "class_id", "asked"), "members")
+    own = classes.select(F.col("class_id").alias("id"), "marks")
+    pairs = written(matches(own, classes.where("queries > 0").select(F.col("class_id").alias("id")), often), "pairs")
+    settled(spark, rows)
+    turned = pairs.select(F.col("id").alias("query_id"), F.col("query_id").alias("id"), (-F.col("offset")).alias("offset"), "votes", "overlap", "error_rate")
+    both = pairs.union(turned).groupBy("query_id", "id").agg(F.min(F.struct("error_rate", (-F.col("votes")).alias("votes"), "offset", "overlap")).alias("how"))
+    sizes = small(written(classes.select(F.col("class_id").alias("id"), "size", "queries"), "sizes"))
+    counted = both.join(sizes, "id").groupBy(F.col("query_id").alias("class_id")).agg(
+        F.sum("size").alias("others"),
+        F.sum("queries").alias("other_queries"),
+        F.min(F.struct("how.error_rate", "how.votes", "id", "how.offset", "how.overlap")).alias("best"),
+    )
+    counted = written(counted, "counted")
+    found = components(pairs.select(F.col("query_id").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "class_id")
+    about = sizes.withColumnRenamed("id", "class_id").join(counted, "class_id", "left").join(found, "class_id", "left")
+    out = members.join(about, "class_id")
+    everyone = F.coalesce("others", F.lit(0)) + F.col("size") - 1
+    queries = F.coalesce("other_queries", F.lit(0)) + F.col("queries")
+    return out.select(
+        "id", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.when(F.col("asked") == 1, everyone).otherwise(queries).alias("links"),
+        F.col("best.id").alias("best_id"), F.col("best.offset").alias("offset"), (-F.col("best.votes")).alias("votes"), F.col("best.overlap").alias("overlap"), F.col("best.error_rate").alias("error_rate"),
+    )
