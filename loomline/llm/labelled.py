@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The column in which a task returns a trained model.
+MODEL = "model binary"
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Rows of a sample one by one, so that its texts are never held all at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 16):
+            part = batch.slice(at, 16)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
+def packed(model: Any) -> pa.RecordBatch:
+    """A trained model as a row."""
+    return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def unpacked(rows: DataFrame, default: Any) -> Any:
+    """The model of the first row, ``default`` if there is none."""
+    row = rows.first()
+    return pickle.loads(bytes(row.model)) if row else default
+
+
 def remainder(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``: the fold of a row."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts

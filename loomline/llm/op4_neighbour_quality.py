@@ -18,7 +18,7 @@ other columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.labelled import remainder, sample
+from loomline.llm.labelled import MODEL, packed, remainder, rows_of, sample, unpacked
 from loomline.llm.shared import chunks, ship
 
 #: Labelled rows that are kept, dimensions, neighbours that vote, power of the similarity.
@@ -77,16 +77,30 @@ def terms(text: str) -> np.ndarray:
     return out
 
 
+def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest of each row, those of equal value by place."""
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, top, axis=1).min(axis=1)
+    # where the last one is tied, the first places of that value count
+    for i in np.flatnonzero((near >= least[:, None]).sum(axis=1) > k):
+        top[i] = np.argsort(-near[i], kind="stable")[:k]
+    return top
+
+
 class Space:
     """The labelled sample's latent-semantic space."""
 
-    def __init__(self, texts: list[str | None], labels: list[int]) -> None:
-        rows = [(terms(t), y) for t, y in zip(texts, labels, strict=True) if t and t.strip()]
+    def __init__(self, sample: Iterable[tuple[str | None, int]]) -> None:
+        rows = [(terms(t), y) for t, y in sample if t and t.strip()]
         self.labels = np.array([y for _, y in rows], dtype=np.float64)
         x = np.array([v for v, _ in rows], dtype=np.float32).reshape(len(rows), TERMS)
         self.weights = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.3
         x *= self.weights
-        values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
+        product = np.zeros((TERMS, TERMS))
+        for at in range(0, len(x), 1000):
+            part = x[at : at + 1000].astype(np.float64)
+            product += part.T @ part
+        values, vectors = np.linalg.eigh(product)
         self.axes = np.ascontiguousarray(vectors[:, np.argsort(-values)[:DIMENSIONS]], dtype=np.float32)
         self.vectors = self.project(x)
 
@@ -103,7 +117,7 @@ class Space:
             part = texts[at : at + block]
             if n:
                 near = self.project(np.array([terms(t or "") for t in part]) * self.weights) @ self.vectors.T
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                top = _nearest(near, k)
                 weight = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 0) ** POWER
                 total = weight.sum(axis=1)
                 share = (weight * self.labels[top]).sum(axis=1) / np.where(total > 0, total, 1)
@@ -115,10 +129,13 @@ class Space:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", limit: int = LABELLED) -> Space:
-    """The space of at most ``limit`` labelled documents."""
-    rows = sample(docs, labels, label, limit, key=key, text=text).toPandas()
-    rows = rows.sort_values(["text", "label"], kind="stable")
-    return Space([t if isinstance(t, str) else None for t in rows["text"]], [int(y) for y in rows["label"]])
+    """The space of at most ``limit`` labelled documents, made by one task: no text comes to the driver."""
+    ship(docs.sparkSession)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(Space(rows_of(batches, "text", "label")))
+
+    return unpacked(sample(docs, labels, label, limit, key=key, text=text).repartition(1).sortWithinPartitions("text", "label").mapInArrow(fitted, MODEL), Space([]))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], space) -> Iterator[pa.RecordBatch]:

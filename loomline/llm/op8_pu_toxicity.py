@@ -19,8 +19,7 @@ gives an empty table. Key and text alone are read, so other columns cannot clash
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.labelled import remainder, sample, unlabelled
+from loomline.llm.labelled import MODEL, packed, remainder, rows_of, sample, unlabelled, unpacked
 from loomline.llm.shared import chunks, ship
 
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 1500
@@ -79,49 +78,45 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def _documents(texts: list[str], known: Counter[str] | None = None) -> list[set[str]]:
-    """Features of each text, those in ``known`` alone if it is given."""
-    of = lru_cache(maxsize=_MEMO)(lambda w: [f for f in features(w) if known is None or f in known])
-    return [{f for w in set(t.lower().split()) for f in of(w)} for t in texts]
+def _chosen(names: list[str], p: np.ndarray, n: int, u: np.ndarray, m: int) -> list[int]:
+    """Features that toxic texts have clearly more often, most telling first.
 
+    ``p`` of ``n`` toxic texts and ``u`` of ``m`` others have a feature.
+    """
+    b = (u + 0.5) / max(1, m)
+    surprise = (p - n * b) / np.sqrt(n * b + 0.5)
+    telling = np.flatnonzero((p >= 3) & (surprise > SURPRISE) & (p > 2 * n * b))
+    return sorted(telling.tolist(), key=lambda f: (surprise[f], names[f]), reverse=True)[:FEATURES]
 
-def _chosen(p: Counter[str], n: int, rest: list[set[str]]) -> list[str]:
-    """Features that toxic texts have clearly more often, most telling first.
 
-    ``p`` counts the ``n`` toxic texts that have a feature.
+def train(sample: Iterable[tuple[str, int]], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
+    """Non-negative PU learning with the logistic loss, full steps by Adam.
+
+    ``sample`` has toxic texts (1) and unlabelled ones (0) after them; each is read once and
+    its features are kept as numbers.
     """
-    u = Counter(f for s in rest for f in s)
-    m = max(1, len(rest))
-    telling = []
-    for f, c in p.items():
-        b = (u[f] + 0.5) / m
-        surprise = (c - n * b) / math.sqrt(n * b + 0.5)
-        if surprise > SURPRISE and c > 2 * n * b:
-            telling.append((surprise, f))
-    telling.sort(reverse=True)
-    return [f for _, f in telling[:FEATURES]]
-
-
-def train(positive: list[str], rest: list[str], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Non-negative PU learning with the logistic loss, full steps by Adam."""
-    if not positive:
-        return Model({}, -30.0)
     of = lru_cache(maxsize=_MEMO)(features)
-    every: Counter[str] = Counter()
-    for t in positive:
-        every.update({f for w in set(t.lower().split()) for f in of(w)})
-    common = Counter({f: c for f, c in every.items() if c >= 3})
-    del every, of
-    sets = _documents([*positive, *rest], common)
-    names = _chosen(common, len(positive), sets[len(positive) :])
-    place = {f: i for i, f in enumerate(names)}
-    rows, columns = [], []
-    for r, s in enumerate(sets):
-        own = [place[f] for f in s if f in place]
-        rows.extend([r] * len(own))
-        columns.extend(own)
-    row, column = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
-    n, np_, nu = len(sets), len(positive), max(1, len(rest))
+    code: dict[str, int] = {}
+    known = lru_cache(maxsize=_MEMO)(lambda w: [code[f] for f in of(w) if f in code])
+    sets: list[np.ndarray] = []
+    np_ = 0
+    for text, positive in sample:
+        own = set(text.lower().split())
+        found = {code.setdefault(f, len(code)) for w in own for f in of(w)} if positive else {f for w in own for f in known(w)}
+        sets.append(np.fromiter(found, dtype=np.int32, count=len(found)))
+        np_ += positive
+    if not np_:
+        return Model({}, -30.0)
+    every = list(code)
+    p, u = (np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *part]), minlength=len(every)) for part in (sets[:np_], sets[np_:]))
+    chosen = _chosen(every, p, np_, u, len(sets) - np_)
+    place = np.full(len(every), -1)
+    place[chosen] = np.arange(len(chosen))
+    names = [every[f] for f in chosen]
+    column = place[np.concatenate(sets)]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[column >= 0]
+    column = column[column >= 0]
+    n, nu = len(sets), max(1, len(sets) - np_)
     is_p = np.arange(n) < np_
     w, b = np.zeros(len(names)), math.log(prior / (1 - prior))
     m1, m2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -149,9 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     share = labels.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     if not share:
         return Model({}, -30.0)
-    toxic = sorted(r.text for r in sample(docs, labels, label, positives, 1, key, text).collect() if r.text)
-    other = sorted(r.text for r in unlabelled(docs, rest, key, text).collect() if r.text)
-    return train(toxic, other, min(0.9, max(1e-3, share)))
+    ship(docs.sparkSession)
+    prior = min(0.9, max(1e-3, share))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(train(rows_of(batches, "text", "positive"), prior))
+
+    own = sample(docs, labels, label, positives, 1, key, text).select("text", F.lit(1).alias("positive"))
+    own = own.union(unlabelled(docs, rest, key, text).select("text", F.lit(0).alias("positive"))).where("text != ''")
+    return unpacked(own.repartition(1).sortWithinPartitions(F.desc("positive"), "text").mapInArrow(fitted, MODEL), Model({}, -30.0))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -49,7 +49,7 @@ def test_quality_on_held_out_rows(spark, corpus):
 
 
 def test_scores_equal_brute_force(corpus):
-    space = op4.Space([t for _, t, _, _ in corpus[:200]], [q for _, _, q, _ in corpus[:200]])
+    space = op4.Space([(t, q) for _, t, q, _ in corpus[:200]])
     texts = [t for _, t, _, _ in corpus[200:260]]
     for t, got in zip(texts, space.scores(texts, block=7), strict=True):
         v = (op4.terms(t) * space.weights) @ space.axes
