@@ -43,7 +43,6 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-# --- the automaton -----------------------------------------------------------
 
 
 def compile_lexicon(words: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -173,7 +172,6 @@ def _lexicon(file: str) -> Lexicon:
     return Lexicon(file if os.path.isabs(file) else SparkFiles.get(file))
 
 
-# --- encoding ----------------------------------------------------------------
 
 
 def merge_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +273,6 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield from _rows(table.column("key"), ids=ids.combine_chunks(), decoded=pa.array(decode_ids(ids.to_pylist(), path), type=pa.string()))
 
 
-# --- corpus words --------------------------------------------------------------
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +308,6 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", limit: int = L
     return put_file(docs.sparkSession, "words.lexicon", compile_lexicon(words, *merge_words(words, path)))
 
 
-# --- operators -----------------------------------------------------------------
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lexicon: str | None = None) -> DataFrame:

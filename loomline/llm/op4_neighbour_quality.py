@@ -91,10 +91,18 @@ class Space:
     """The labelled sample's latent-semantic space."""
 
     def __init__(self, sample: Iterable[tuple[str | None, int]]) -> None:
-        rows = [(terms(t), y) for t, y in sample if t and t.strip()]
-        self.labels = np.array([y for _, y in rows], dtype=np.float64)
-        x = np.array([v for v, _ in rows], dtype=np.float32).reshape(len(rows), TERMS)
-        self.weights = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.3
+        labels: list[int] = []
+        blocks: list[np.ndarray] = []
+        for t, y in sample:
+            if t and t.strip():
+                if len(labels) % 512 == 0:
+                    blocks.append(np.zeros((512, TERMS), dtype=np.float32))
+                blocks[-1][len(labels) % 512] = terms(t)
+                labels.append(y)
+        self.labels = np.array(labels, dtype=np.float64)
+        x = np.concatenate([np.empty((0, TERMS), dtype=np.float32), *blocks])[: len(labels)]
+        del blocks
+        self.weights = np.log((1 + len(labels)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.3
         x *= self.weights
         product = np.zeros((TERMS, TERMS))
         for at in range(0, len(x), 1000):
