@@ -30,20 +30,75 @@ from loomline.llm.shared import chunks, ship
 from loomline.llm.similar import small
 
 TEXT_BYTES = 4 << 20
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe textarea select title".split()}
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_PLAIN_REST = re.compile(r"([^>]*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = frozenset("article main section div body td center".split())
-_NOISE_TAG = frozenset("nav footer aside form button head menu dialog object map".split())
+_NOISE_TAG = frozenset("nav footer aside button head menu dialog object map".split())
 _NOISE_WORD = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond notice notices cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay widget toolbar pagination pager".split()
 )
+#: Words that may stand beside a noise word in a class without changing what it says.
+_BESIDE = frozenset(
+    "site main page global top bottom left right upper lower box bar list section wrap wrapper container block area button buttons link links post posts article articles inner outer content primary secondary form slot unit item items panel group body text title image img icon icons row col column mobile desktop fixed sticky js v el m".split()
+)
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt"} | {"li"}
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, tag name, whether it ends an element, and attributes of all tags in order.
+
+    Comments and elements of raw text are one token without a name. A tag ends at the first
+    ``>`` outside quoted values; once a page has a tag that never ends so, at the first
+    ``>`` whatsoever, so that each character is looked at a bounded number of times.
+    """
+    at, rest = 0, _REST
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        name = _NAME.match(html, at)
+        if not name:
+            if html.startswith(("<!", "<?"), at) and (end := html.find(">", at)) >= 0:
+                yield at, end + 1, "", False, ""
+                at = end
+            at += 1
+            continue
+        m = rest.match(html, name.end())
+        if not m and rest is _REST:
+            rest = _PLAIN_REST
+            m = rest.match(html, name.end())
+        if not m:
+            return  # no tag ends any more
+        tag, closing = name.group(1).lower(), html[at + 1] == "/"
+        if tag in _RAW and not closing:
+            end = _RAW[tag].search(html, m.end())
+            to = end.end() if end else len(html)
+            yield at, to, "", False, ""
+            at = to
+            continue
+        yield at, m.end(), tag, closing, m.group(1)
+        at = m.end()
+
+
+def is_noise(name: str) -> bool:
+    """Whether one class or id says that an element is no part of the text.
+
+    ``site-footer`` or ``comments`` do; ``has-sidebar``, ``comments-open``, ``share-price`` don't.
+    """
+    words = [w for w in re.split("[^a-z]+", name) if w]
+    return any(w in _NOISE_WORD for w in words) and all(w in _NOISE_WORD or w in _BESIDE for w in words)
+
+
 class Node:
     """An element: its path, whether it is noise, and where its blocks begin and end."""
 
@@ -54,9 +109,15 @@ class Node:
 
 
 class Page:
-    """Blocks of a page in order, without noise, and its containers."""
+    """Blocks of a page in order, without noise, and its containers.
 
-    def __init__(self, html: str) -> None:
+    A form is noise, but for one round paragraphs that are more than half of the page's text.
+    """
+
+    def __init__(self, html: str, kept: frozenset[int] = frozenset()) -> None:
+        forms: list[list] = []  # characters and paragraphs in each form
+        open_forms: list[tuple[Node, list]] = []
+        total = 0
         self.blocks: list[str] = []
         self.plain: list[int] = []
         self.containers: list[Node] = []
@@ -76,26 +137,30 @@ class Page:
 
         def close() -> None:
             node = stack.pop()
+            if open_forms and open_forms[-1][0] is node:
+                open_forms.pop()
             if node.tag in _BLOCK:
                 flush()
             node.last = len(self.blocks)
 
         def words(raw: str) -> None:
-            nonlocal outside
+            nonlocal outside, total
+            if raw:
+                total += len(raw)
+                for _, held in open_forms:
+                    held[0] += len(raw)
             if raw and not stack[-1].noise:
                 text = unescape(raw) if "&" in raw else raw
                 parts.append(text)
                 if not stack[-1].link:
                     outside += len(text)
 
-        for m in _TOKEN.finditer(html):
-            words(html[at : m.start()])
-            at = m.end()
-            tag = m.group(3)
-            if tag is None:
+        for start, end, tag, closing, attributes in tokens(html):
+            words(html[at:start])
+            at = end
+            if not tag:
                 continue
-            tag = tag.lower()
-            if m.group(2):
+            if closing:
                 if any(n.tag == tag for n in stack[1:]):
                     # an end tag closes what is open inside, but no table cell or body from inside
                     while stack[-1].tag != tag:
@@ -129,18 +194,25 @@ class Page:
                 continue
             top = stack[-1]
             name, noise = tag, top.noise or tag in _NOISE_TAG or (tag == "header" and not top.article)
-            if m.group(4):
-                for k, *values in _ATTRIBUTE.findall(m.group(4)):
-                    value = next(filter(None, values), "").lower()
-                    k = k.lower()
-                    if k == "class" and value:
-                        name += "." + ".".join(sorted(re.sub(r"\d+", "#", c) for c in value.split()))
-                    if k == "hidden" or (k == "role" and value in _NOISE_ROLE):
-                        noise = True
-                    elif k in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                        noise = noise or any(w in _NOISE_WORD for w in re.split("[^a-z]+", value))
+            for k, *values in _ATTRIBUTE.findall(attributes):
+                value = next(filter(None, values), "").lower()
+                k = k.lower()
+                if k == "class" and value:
+                    name += "." + ".".join(sorted(re.sub(r"\d+", "#", c) for c in value.split()))
+                if k == "hidden" or (k == "role" and value in _NOISE_ROLE):
+                    noise = True
+                elif k in ("class", "id") and tag not in ("body", "html", "article", "main"):
+                    noise = noise or any(map(is_noise, value.split()))
+            if tag == "form":
+                noise = noise or len(forms) not in kept
+                forms.append([0, 0])
+            if tag in ("p", "article", "main", "h1", "h2"):
+                for _, held in open_forms:
+                    held[1] += 1
             node = Node(tag, f"{top.path}/{name}" if tag in _BLOCK else top.path, noise, top.link or tag == "a", len(self.blocks), top.article or tag in ("article", "main"))
             stack.append(node)
+            if tag == "form":
+                open_forms.append((node, forms[-1]))
             if tag in _CONTAINER and not noise:
                 self.containers.append(node)
         words(html[at:])
@@ -149,6 +221,9 @@ class Page:
         flush()
         root.last = len(self.blocks)
         self.root = root
+        round_text = frozenset(i for i, (n, paragraphs) in enumerate(forms) if paragraphs and 2 * n > total)
+        if round_text and not kept:
+            self.__init__(html, round_text)
 
     def best(self) -> tuple[Node, float]:
         """The container with most text of its own kind: deep ones win over those around them."""
