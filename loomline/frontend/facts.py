@@ -23,9 +23,8 @@ LANGUAGES = {
 }
 #: Signs of C++ in a header that could be C.
 _CPP = r"(?m)^\s*(class\s|namespace\s|template\s*<|public:|private:|protected:|using\s)|std::|#include <(string|vector|memory|map|iostream)>|virtual\s|constexpr\s|nullptr"
-_VALUE = "paths array<string>, calls array<int>"
-_CALL = f"struct<call:int, callee:string, line:int, col:int, recv:struct<paths:array<string>, calls:array<int>>, args:array<struct<pos:int, kw:string, literal:string, paths:array<string>, calls:array<int>>>>"
-_STMT = f"struct<kind:string, line:int, col:int, text:string, assigns:array<struct<target:string, strong:boolean, paths:array<string>, calls:array<int>>>, calls:array<{_CALL}>, ret:struct<paths:array<string>, calls:array<int>>>"
+_CALL = "struct<call:int, callee:string, line:int, col:int, recv:struct<paths:array<string>, calls:array<int>>, args:array<struct<pos:int, kw:string, literal:string, paths:array<string>, calls:array<int>>>>"
+_STMT = f"struct<kind:string, line:int, col:int, text:string, assigns:array<struct<target:string, strong:boolean, paths:array<string>, calls:array<int>>>, calls:array<{_CALL}>, ret:struct<paths:array<string>, calls:array<int>>, cond:struct<paths:array<string>, calls:array<int>>>"
 SCHEMAS = {
     "function": f"fn_id string, path string, name string, owner string, line int, col int, params array<string>, receiver string, ret_type string, types array<struct<name:string, type:string>>, free array<string>, blocks array<struct<block:int, stmts:array<{_STMT}>>>, edges array<struct<src:int, dst:int, kind:string>>",
     "import": "module string, names array<string>, full array<string>, line int, kind string",

@@ -135,6 +135,8 @@ class Lowering:
         }.get(type(node).__name__, "other")
         end = f"{getattr(node, 'end_lineno', 0)}.{getattr(node, 'end_col_offset', 0)}"
         own = f"{self.path}:{line}.{col}-{end}:{type(node).__name__}"
+        if parent is not None and not hasattr(node, "lineno"):
+            own = f"{parent}#{type(node).__name__}:{ord_}"  # no place of its own
         name = callee_of(node) if isinstance(node, ast.Call) else getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None) or getattr(node, "arg", None)
         self.nodes.append({"id": own, "kind": kind, "parent": parent, "ord": ord_, "line": line, "col": col, "name": name})
         children = [c for c in ast.iter_child_nodes(node) if not isinstance(c, ast.expr_context | ast.operator | ast.boolop | ast.unaryop | ast.cmpop)]
@@ -202,7 +204,7 @@ class Lowering:
 
     def _stmt(self, f: Function, e: ast.AST | None, kind: str, at: ast.AST | None = None, targets: list[tuple] = (), ret: ast.AST | None = None) -> dict:
         at = at if at is not None else e
-        s: dict[str, Any] = {"kind": kind, "line": at.lineno, "col": at.col_offset + 1, "text": " ".join(ast.unparse(at).split("\n")[0].split())[:100], "assigns": [], "calls": [], "ret": None}
+        s: dict[str, Any] = {"kind": kind, "line": at.lineno, "col": at.col_offset + 1, "text": " ".join(ast.unparse(at).split("\n")[0].split())[:100], "assigns": [], "calls": [], "ret": None, "cond": None}
         if e is not None:
             self._inner(f, at)
             value = self._value(s, e)
@@ -211,6 +213,8 @@ class Lowering:
                 s["assigns"].append({"target": target, "strong": strong, **own_value})
             if ret is not None:
                 s["ret"] = value
+            if kind == "branch":
+                s["cond"] = value
         if any(s["calls"]) and kind == "other":
             s["kind"] = "call"
         if s["assigns"] and kind == "other":
@@ -333,7 +337,7 @@ class Lowering:
             self._function(f"{f.name}.{s.name}" if f.name != "<module>" else s.name, s, s.body, None, f.name != "<module>")
             if f.name != "<module>" and not s.decorator_list:
                 value = {"paths": [f"<fn@{s.lineno}:{s.col_offset + 1}>"], "calls": []}
-                f.blocks[f.here()].append({"kind": "assign", "line": s.lineno, "col": s.col_offset + 1, "text": f"def {s.name}", "assigns": [{"target": s.name, "strong": True, **value}], "calls": [], "ret": None})
+                f.blocks[f.here()].append({"kind": "assign", "line": s.lineno, "col": s.col_offset + 1, "text": f"def {s.name}", "assigns": [{"target": s.name, "strong": True, **value}], "calls": [], "ret": None, "cond": None})
         elif isinstance(s, ast.ClassDef):
             self._class(f, s, "" if f.name == "<module>" else f"{f.name}.")
         elif isinstance(s, ast.If):

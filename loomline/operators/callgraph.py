@@ -93,7 +93,8 @@ def resolved(sites: DataFrame, functions: DataFrame, visible: DataFrame, classes
     made = known.where(last_segment(F.col("name")).isin(*CONSTRUCTORS)).withColumn("class", F.regexp_replace("name", r"\.[^.]+$", ""))
     made = made.select("target", "target_path", F.explode(suffixes(F.col("class"))).alias("callee"))
     called = F.when(last_segment(F.col("callee")) == "new", F.regexp_replace("callee", r"\.[^.]+$", "")).otherwise(F.col("callee"))
-    tier3 = own.withColumn("as", F.col("callee")).withColumn("callee", called).join(made, "callee").withColumn("callee", F.col("as")).select(*keys, "target", "target_path", F.lit(3).alias("tier"), F.lit(0).alias("cut"))
+    built = own.select(*keys, F.posexplode(suffixes(called)).alias("cut", "class"))
+    tier3 = built.join(made.withColumnRenamed("callee", "class"), "class").select(*keys, "target", "target_path", F.lit(3).alias("tier"), "cut")
     guess = known.where(F.col("name").contains(".")).withColumn("last", last_segment(F.col("name"))).drop("name")
     tier4 = own.where(F.col("callee").contains(".")).withColumn("last", last_segment(F.col("callee"))).join(guess, "last").select(*keys, "target", "target_path", F.lit(4).alias("tier"), F.lit(0).alias("cut"))
     found = tier1.union(tier2).union(tier3).union(tier4).join(visible.select("path", F.col("seen").alias("target_path"), F.lit(1).alias("is_seen")), ["path", "target_path"], "left")
@@ -117,6 +118,31 @@ def overrides(bases: DataFrame, functions: DataFrame) -> DataFrame:
     return near.union(down.join(has, ["class", "method"], "left_semi")).distinct()
 
 
+def receiver_classes(functions: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """``fn_id``, ``var``, ``class`` of variables whose class is known: declared, ``self``, or made by
+    a constructor that ``found`` resolves. A variable with two classes has none. ``classes`` has name."""
+    declared = functions.select("fn_id", F.explode("types").alias("t")).select("fn_id", F.col("t.name").alias("var"), F.col("t.type").alias("class"))
+    own = functions.where("receiver IS NOT NULL").select("fn_id", F.col("receiver").alias("var"), F.col("owner").alias("class"))
+    block = functions.select("fn_id", F.explode("blocks").alias("b")).select("fn_id", F.explode("b.stmts").alias("s"))
+    made = block.select("fn_id", F.explode("s.assigns").alias("a"), F.col("s.calls").alias("all")).where("size(a.calls) = 1 AND size(a.paths) = 0")
+    made = made.select("fn_id", F.col("a.target").alias("var"), F.element_at("all", F.element_at("a.calls", 1) + 1).alias("c")).select("fn_id", "var", "c.line", "c.col")
+    made = made.join(found.where("tier = 3"), ["fn_id", "line", "col"]).join(functions.select(F.col("fn_id").alias("target"), F.col("owner").alias("class")), "target").select("fn_id", "var", "class")
+    every = declared.union(own).union(made).join(classes.select(F.col("name").alias("class")).distinct(), "class", "left_semi")
+    return every.groupBy("fn_id", "var").agg(F.min("class").alias("class"), F.max("class").alias("other")).where("class = other").select("fn_id", "var", "class")
+
+
+def methods_of_classes(sites: DataFrame, found: DataFrame, receivers: DataFrame, methods: DataFrame) -> DataFrame:
+    """``found`` with the guesses replaced where the receiver's class is known.
+
+    ``methods`` are :func:`overrides`; ``super()`` calls take the inherited ones alone. Tier 0, exact.
+    """
+    own = sites.withColumn("var", F.regexp_replace("callee", r"\.[^.]+$", "")).withColumn("method", last_segment(F.col("callee"))).where("var != callee")
+    typed = own.join(receivers, ["fn_id", "var"]).join(methods, ["class", "method"]).where("var != 'super' OR inherited")
+    typed = typed.select("fn_id", "line", "col", "callee", "target", F.lit(0).alias("tier"), F.lit(True).alias("exact")).distinct()
+    left = found.join(typed.select("fn_id", "line", "col").distinct(), ["fn_id", "line", "col"], "left_anti")
+    return left.unionByName(typed)
+
+
 def callbacks(arguments: DataFrame, functions: DataFrame) -> DataFrame:
     """Arguments that name a function of the same file: fn_id, target, line, handed over and not called."""
     names = arguments.select("fn_id", F.element_at(F.split("fn_id", ":"), 1).alias("path"), "line", F.explode("paths").alias("name"))

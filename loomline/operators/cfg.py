@@ -140,11 +140,12 @@ def reaching_definitions(functions: DataFrame, statement_graph: DataFrame) -> Da
 
 def uses(functions: DataFrame, reaching: DataFrame) -> DataFrame:
     """Definition to use: ``fn_id``, ``def``, ``node``, ``var`` where a statement reads the variable."""
-    s = facts.statements(functions).select("fn_id", _node("block", "idx").alias("node"), "assigns", "calls", "ret")
+    s = facts.statements(functions).select("fn_id", _node("block", "idx").alias("node"), "assigns", "calls", "ret", "cond")
     read = F.concat(
         F.flatten(F.transform("assigns", lambda a: a["paths"])),
         F.flatten(F.transform("calls", lambda c: F.concat(c["recv"]["paths"], F.flatten(F.transform(c["args"], lambda a: a["paths"]))))),
         F.coalesce(F.col("ret.paths"), F.array().cast("array<string>")),
+        F.coalesce(F.col("cond.paths"), F.array().cast("array<string>")),
     )
     own = s.select("fn_id", "node", F.explode(F.array_distinct(F.transform(read, lambda p: F.regexp_extract(p, r"^[^.\[]+", 0)))).alias("var"))
     return own.join(reaching, ["fn_id", "node", "var"]).select("fn_id", "def", "node", "var").distinct()

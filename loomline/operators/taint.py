@@ -1,9 +1,10 @@
 """Untrusted values through functions and calls: sources, cleaners, sinks, summaries, findings.
 
-Each function is analysed once its callees have been, level by level of the graph of recursive
-groups; functions of a group are analysed again until their summaries stand still, five rounds at
-most. A level is one Spark job: function records joined with their resolved calls and the callees'
-summaries, a function a row. Inside a function a worklist over its blocks joins the states.
+Summaries start at nothing and grow: a round analyses all functions, the next ones only callers of
+functions whose summaries changed (and methods of classes whose fields turned untrusted), until
+none does; so leaves come first and recursive groups settle by themselves. A round is one Spark
+job: function records joined with their resolved calls and the callees' summaries, a function a
+row. Inside a function a worklist over its blocks joins the states.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomline.frontend.facts import SCHEMAS
-from loomline.operators import graph
 from loomline.sources.code import ship
 from loomline.sources.scratch import kept
 
-#: Causes of one value, hits of one parameter, steps of a chain, rounds of a recursive group.
-CAUSES, HITS, CHAIN, RECURSIVE = 6, 20, 6, 5
+#: Causes of one value, hits of one parameter, steps of a chain; a bound of rounds that chains never reach.
+CAUSES, HITS, CHAIN, ROUNDS = 6, 20, 6, 100
 LEVELS = ("low", "medium", "high")
 
 
@@ -188,10 +189,12 @@ class Body:
             else:
                 state[target] = self._least(state.get(target, set()) | causes)
             if target.startswith("self.") and self.f["owner"] and causes:
-                own = self.summary["fields"].setdefault(target[5:], [])
                 for c in sorted(causes, key=str):
-                    if c[0] == "source" and (e := ["source", c[1], f"{c[2]} at {self.f['path']}:{c[1]}" if " at " not in c[2] else c[2]]) not in own:
-                        own.append(e)
+                    if c[0] == "source":
+                        own = self.summary["fields"].setdefault(target[5:], [])
+                        e = ["source", c[1], c[2] if " at " in c[2] else f"{c[2]} at {self.f['path']}:{c[1]}"]
+                        if e not in own:
+                            own.append(e)
         if s["ret"]:
             for c in self._value(s["ret"], results, state, s["line"]):
                 if c[0] == "param":
@@ -210,11 +213,13 @@ class Body:
         for pattern, text in self.rules.sources:
             if text.endswith("()") and matches(callee, pattern):
                 return {("source", line, text)}
-        targets = [t for t in self.targets.get(f"{line}:{c['col']}", []) if t in self.summaries or t == self.f["fn_id"]]
+        targets = self.targets.get(f"{line}:{c['col']}", [])
         if targets:
             out: set = set()
             for t in targets:
-                summary = self.summaries.get(t) or {"params": self.f["params"], "returns": [], "source": None, "sinks": []}
+                summary = self.summaries.get(t)
+                if summary is None:  # not analysed yet: nothing is known to come through
+                    continue
                 bound: dict[int, set] = {}
                 for a, causes in values:
                     i = summary["params"].index(a["kw"]) if a["kw"] in summary["params"] else a["pos"] if a["kw"] is None else -1
@@ -283,9 +288,10 @@ def _analysed(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Re
             by: dict[str, list[str]] = {}
             for t in targets or []:
                 by.setdefault(t["at"], []).append(t["target"])
-            held: dict[str, dict] = {}
+            held: dict[str, dict[str, list]] = {}
             for x in fields or []:
-                held.setdefault(x["owner"], {}).update(json.loads(x["fields"]))
+                for cell, causes in json.loads(x["fields"]).items():
+                    held.setdefault(x["owner"], {}).setdefault(cell, []).extend(causes)
             body = Body(json.loads(record), by, {x["fn_id"]: json.loads(x["summary"]) for x in summaries or []}, rules, held)
             body.run()
             body.summary["returns"].sort()
@@ -311,43 +317,33 @@ def _level(functions: DataFrame, targets: DataFrame, summaries: DataFrame, field
 def analyse(functions: DataFrame, targets: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """Findings and summaries (fn_id, summary) of all functions.
 
-    ``targets`` are resolved calls (fn_id, line, col, target, exact); guesses carry no summary. Fields of a
-    class that turn out to be untrusted start another pass over the project, three at most.
+    ``targets`` are resolved calls (fn_id, line, col, target, exact); guesses carry no summary.
     """
     spark = functions.sparkSession
     ship(spark)
     functions = kept(functions)
     exact = kept(targets.where("exact").select("fn_id", "line", "col", "target"))
-    e = exact.select(F.col("fn_id").alias("src"), F.col("target").alias("dst"), F.lit("call").alias("kind"))
-    every = functions.select("fn_id").withColumnRenamed("fn_id", "node")
-    order = every.join(graph.levels(e), "node", "left") if not e.isEmpty() else every.withColumn("component", F.lit(None).cast("string")).withColumn("level", F.lit(0))
-    order = kept(order.select(F.col("node").alias("fn_id"), F.coalesce("component", "node").alias("component"), F.coalesce("level", F.lit(0)).alias("level")))
-    loops = kept(e.where("src = dst").select(F.col("src").alias("fn_id")).union(order.join(order.groupBy("component").count().where("count > 1"), "component").select("fn_id")).distinct())
-    top = order.agg(F.max("level")).first()[0]
+    summaries = spark.createDataFrame([], "fn_id string, summary string")
     fields = spark.createDataFrame([], "owner string, fields string")
-    for _ in range(3):
-        summaries = spark.createDataFrame([], "fn_id string, summary string")
-        results = None
-        for level in range((top or 0) + 1):
-            now = kept(functions.join(order.where(F.col("level") == level).select("fn_id"), "fn_id", "left_semi"))
-            again = now.join(loops, "fn_id", "left_semi")
-            for _round in range(RECURSIVE if not again.isEmpty() else 0):
-                part = kept(_level(again, exact, summaries, fields, rules).where("what = 'summary'").select("fn_id", F.col("record").alias("summary")))
-                new = part.join(summaries, ["fn_id", "summary"], "left_anti")
-                stands = new.isEmpty()
-                summaries = kept(summaries.join(part.select("fn_id"), "fn_id", "left_anti").unionByName(part))
-                if stands:
-                    break
-            part = kept(_level(now, exact, summaries, fields, rules))
-            results = part if results is None else results.unionByName(part)
-            own = part.where("what = 'summary'").select("fn_id", F.col("record").alias("summary"))
-            summaries = kept(summaries.join(own.select("fn_id"), "fn_id", "left_anti").unionByName(own))
-        cells = functions.where("owner IS NOT NULL").select("fn_id", "owner").join(summaries, "fn_id").select("owner", F.get_json_object("summary", "$.fields").alias("fields")).where("fields != '{}'")
-        cells = kept(cells.distinct())
-        if cells.join(fields, ["owner", "fields"], "left_anti").isEmpty():
+    done, todo = None, functions
+    part_of = lambda name: F.get_json_object("summary", f"$.{name}")
+    for n in range(ROUNDS):
+        part = kept(_level(todo, exact, summaries, fields, rules).withColumn("round", F.lit(n)))
+        done = part if done is None else done.unionByName(part)
+        own = part.where("what = 'summary'").select("fn_id", F.col("record").alias("summary"))
+        says = (part_of("returns") != "[]") | part_of("source").isNotNull() | (part_of("sinks") != "[]") | (part_of("fields") != "{}")
+        changed = kept(own.where(says).join(summaries, ["fn_id", "summary"], "left_anti"))
+        if changed.isEmpty():
             break
+        summaries = kept(summaries.join(own.select("fn_id"), "fn_id", "left_anti").unionByName(own))
+        callers = exact.join(changed.select(F.col("fn_id").alias("target")), "target", "left_semi").select("fn_id")
+        held = functions.where("owner IS NOT NULL").select("fn_id", "owner")
+        cells = held.join(summaries, "fn_id").select("owner", part_of("fields").alias("fields")).where("fields != '{}'").distinct()
+        touched = held.join(cells.join(fields, ["owner", "fields"], "left_anti"), "owner", "left_semi").select("fn_id")
         fields = cells
-    found = results.where("what = 'finding'").select(F.from_json("record", _FINDING).alias("f")).select("f.*")
+        todo = functions.join(callers.union(touched).distinct(), "fn_id", "left_semi")
+    last = Window.partitionBy("fn_id")
+    found = done.withColumn("last", F.max("round").over(last)).where("round = last AND what = 'finding'").select(F.from_json("record", _FINDING).alias("f")).select("f.*")
     return best(found), summaries
 
 

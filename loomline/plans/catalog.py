@@ -1,8 +1,8 @@
 """Named queries over the driver's tables, with SQL of the same result.
 
-The tables hold no source code, so each operator runs over a stand-in for its input:
-suppliers calling parts (line items are call sites), region, nation and customer as a
-containment tree, a user's events as the statements of a function (signup a source of
+The tables hold no source code, so the operators here run over stand-ins for their input (queries
+over real sources are in :mod:`loomline.plans.code`):
+suppliers calling parts (line items are call sites), a user's events as the statements of a function (signup a source of
 taint, error a cleaner, purchase a sink), lines of documents as source lines, turns of a
 conversation as statements, orders as findings.
 """
@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomline.operators import findings, flow, relations
+from loomline.plans import code, life
 from loomline.sources.tables import table
 
 _TOKEN = 'token = "[0-9a-f]{40}"'
@@ -35,7 +37,7 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
 
 def callers(spark: SparkSession, d: str) -> DataFrame:
     """Who calls a part whose name contains a text."""
-    return _calls(spark, d).where(F.col("p_name").contains("1")).select(F.col("s_name").alias("caller"), F.col("p_name").alias("callee")).distinct()
+    return _calls(spark, d).where(F.col("p_name").contains("e")).select(F.col("s_name").alias("caller"), F.col("p_name").alias("callee")).distinct()
 
 
 def callees(spark: SparkSession, d: str) -> DataFrame:
@@ -43,11 +45,6 @@ def callees(spark: SparkSession, d: str) -> DataFrame:
     return _calls(spark, d).where(F.col("s_name").contains("7")).select(F.col("s_name").alias("caller"), F.col("p_name").alias("callee")).distinct()
 
 
-def call_roots(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes without incoming edges."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 def external_calls(spark: SparkSession, d: str) -> DataFrame:
     """A2: calls of what is not declared, counted."""
     known = table(spark, d, "part").where("p_size <= 25")
@@ -70,15 +67,6 @@ def dep_collapse(spark: SparkSession, d: str) -> DataFrame:
     return edges.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("calls"))
 
 
-def hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """All ancestors of each node of the containment tree, with their distance."""
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
-    edges = n.union(c)
-    two = edges.alias("a").join(edges.alias("b"), F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent", F.lit(2).alias("depth"))
-    return edges.withColumn("depth", F.lit(1)).union(two)
-
-
 def stmt_edges(spark: SparkSession, d: str) -> DataFrame:
     """statement graph of straight code."""
     return flow.next_edges(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", F.col("turn").alias("src"), "dst", "role")
@@ -127,18 +115,22 @@ def by_topdir(spark: SparkSession, d: str) -> DataFrame:
 def pattern_match(spark: SparkSession, d: str) -> DataFrame:
     """Callee patterns; a part's type is the qualified name."""
     p = table(spark, d, "part").select("p_partkey", F.lower(F.regexp_replace("p_type", " ", ".")).alias("callee"))
-    last = p.select(F.element_at(F.split("callee", "\\."), -1).alias("m")).distinct().orderBy("m").limit(2).select(F.concat(F.lit("*."), "m").alias("pattern"))
-    return relations.pattern_matches(p, last.union(p.select("callee").distinct().orderBy("callee").limit(3))).select("p_partkey", "callee", "pattern").distinct()
+    last = p.where(F.col("callee").contains(".")).select(F.concat(F.lit("*."), F.element_at(F.split("callee", "\\."), -1)).alias("pattern"))
+    return relations.pattern_matches(p, last.union(p.select("callee")).distinct()).select("p_partkey", "callee", "pattern").distinct()
 
 
 def tiers(spark: SparkSession, d: str) -> DataFrame:
     """A customer's supplier: of the own nation, else of the own region; none if more than three."""
-    n = table(spark, d, "nation")
-    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
-    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("n_regionkey").alias("s_region"))
-    found = c.join(s, F.col("n_regionkey") == F.col("s_region"))
-    tier = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 1).otherwise(2)
-    return relations.first_of_tiers(found.withColumn("tier", tier), ["c_custkey"], "tier", "s_suppkey", 3)
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    # the candidates depend on the nation alone: at most four of a tier are kept there before customers are joined
+    first = s.withColumn("i", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("i <= 4").drop("i")
+    region = n.select(F.col("n_nationkey").alias("other"), "n_regionkey")
+    found = n.join(region, "n_regionkey").join(first, F.col("other") == F.col("s_nationkey"))
+    found = found.withColumn("tier", F.when(F.col("n_nationkey") == F.col("s_nationkey"), 1).otherwise(2))
+    by_nation = relations.first_of_tiers(found, ["n_nationkey"], "tier", "s_suppkey", 3)
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return c.join(by_nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "tier", "s_suppkey")
 
 
 def division(spark: SparkSession, d: str) -> DataFrame:
@@ -168,9 +160,10 @@ def secrets(spark: SparkSession, d: str) -> DataFrame:
 
 def suppressed(spark: SparkSession, d: str) -> DataFrame:
     """Lines under a marker on the same line or the line before."""
-    marks = _lines(spark, d).where(F.col("code").contains("icense"))
-    reach = marks.select("doc_id", F.explode(F.array("line", F.col("line") + 1)).alias("line")).distinct()
-    return _lines(spark, d).join(reach, ["doc_id", "line"], "left_semi").select("doc_id", (F.col("line") + 1).alias("line"))
+    code = F.split("text", "\n")
+    near = lambda i: (F.try_element_at(code, i + 1).contains("icense")) | F.coalesce((i > 0) & F.try_element_at(code, F.when(i > 0, i)).contains("icense"), F.lit(False))
+    hit = F.filter(F.transform(code, lambda _, i: F.when(near(i), i + 1)), lambda i: i.isNotNull())
+    return table(spark, d, "documents").where(F.col("text").contains("icense")).select("doc_id", F.explode(hit).alias("line"))
 
 
 def ids(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +184,7 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return taint(spark, folder)
+    return code.taint_interproc(spark, folder)
 
 
 _LAST = "last_value(CASE WHEN event_type IN ('signup', 'error') THEN {} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -200,13 +193,11 @@ _TEXT = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS code, generate_s
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "call_edges_sites": (call_edges, "SELECT l_suppkey, l_partkey, count(*) AS sites, min(l_linenumber) AS first_line, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY l_suppkey, l_partkey"),
-    "callers": (callers, f"SELECT DISTINCT s_name AS caller, p_name AS callee {_CALLS} WHERE contains(p_name, '1')"),
+    "callers": (callers, f"SELECT DISTINCT s_name AS caller, p_name AS callee {_CALLS} WHERE contains(p_name, 'e')"),
     "callees": (callees, f"SELECT DISTINCT s_name AS caller, p_name AS callee {_CALLS} WHERE contains(s_name, '7')"),
-    "call_roots": (call_roots, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "external_calls": (external_calls, "SELECT l_partkey, count(*) AS calls FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 25) GROUP BY l_partkey"),
     "most_depended_on": (most_depended_on, "SELECT n_name, count(*) AS users FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY users DESC, n_name LIMIT 5"),
     "dep_collapse_dir": (dep_collapse, "SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS calls FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY ALL"),
-    "hierarchy_closure": (hierarchy, "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), t AS (SELECT child, parent, 1 AS depth FROM e UNION ALL SELECT t.child, e.parent, t.depth + 1 FROM t JOIN e ON t.parent = e.child) SELECT child, parent, depth FROM t"),
     "stmt_edges": (stmt_edges, "SELECT conv_id, src, dst, role FROM (SELECT conv_id, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst, role FROM conversations) WHERE dst IS NOT NULL"),
     "reaching_defs_straight": (reaching, f"SELECT event_id, user_id, def_id FROM (SELECT *, {_LAST.format('event_id')} AS def_id FROM events) WHERE event_type = 'purchase' AND def_id IS NOT NULL"),
     "taint_straight": (taint, f"SELECT event_id, user_id, source_id FROM (SELECT *, {_LAST.format('event_type')} AS kind, {_LAST.format('event_id')} AS source_id FROM events) WHERE event_type = 'purchase' AND kind = 'signup'"),
@@ -214,7 +205,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "findings_dedup_best": (dedup_best, "SELECT o_custkey, o_orderstatus, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderpriority, CAST(o_orderdate AS DATE), o_orderkey) = 1"),
     "findings_by_severity": (by_severity, "SELECT count(*) FILTER (left(o_orderpriority, 1) IN ('1', '2')) AS high, count(*) FILTER (left(o_orderpriority, 1) = '3') AS medium, count(*) FILTER (left(o_orderpriority, 1) IN ('4', '5')) AS low FROM orders"),
     "findings_by_topdir": (by_topdir, "SELECT regexp_extract(url, '^[a-z]+://[^/]*/([^/?#]*)', 1) AS dir, count(*) AS findings FROM pages GROUP BY 1"),
-    "pattern_match_suffix": (pattern_match, "WITH p AS (SELECT p_partkey, lower(replace(p_type, ' ', '.')) AS callee FROM part), m AS (SELECT DISTINCT string_split(callee, '.')[-1] AS m FROM p ORDER BY m LIMIT 2), w AS (SELECT DISTINCT callee AS w FROM p ORDER BY w LIMIT 3) SELECT p_partkey, callee, '*.' || m AS pattern FROM p JOIN m ON contains(callee, '.') AND string_split(callee, '.')[-1] = m UNION SELECT p_partkey, callee, w FROM p JOIN w ON callee = w OR (contains(w, '.') AND ends_with(callee, '.' || w))"),
+    "pattern_match_suffix": (pattern_match, "WITH p AS (SELECT p_partkey, lower(replace(p_type, ' ', '.')) AS callee FROM part), m AS (SELECT DISTINCT string_split(callee, '.')[-1] AS m FROM p WHERE contains(callee, '.')), w AS (SELECT DISTINCT callee AS w FROM p) SELECT p_partkey, callee, '*.' || m AS pattern FROM p JOIN m ON contains(callee, '.') AND string_split(callee, '.')[-1] = m UNION SELECT p_partkey, callee, w FROM p JOIN w ON callee = w OR (contains(w, '.') AND ends_with(callee, '.' || w))"),
     "resolve_priority": (tiers, "WITH f AS (SELECT c_custkey, s_suppkey, CASE WHEN c_nationkey = s_nationkey THEN 1 ELSE 2 END AS tier FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey), g AS (SELECT * FROM f QUALIFY tier = min(tier) OVER (PARTITION BY c_custkey)) SELECT c_custkey, tier, s_suppkey FROM g QUALIFY count(*) OVER (PARTITION BY c_custkey) <= 3"),
     "interface_division": (division, "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)"),
     "agreement_value": (agreement, "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) END AS agreed FROM orders GROUP BY o_custkey"),
@@ -228,8 +219,8 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for name, (q, _) in _QUERIES.items()}
+    return {name: q for name, (q, _) in {**_QUERIES, **life.QUERIES, **code.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items()}
+    return {name: sql for name, (_, sql) in {**_QUERIES, **life.QUERIES, **code.QUERIES}.items()}
