@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -94,8 +95,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def trimmed() -> None:
+    """Give back the memory that this process holds free: a Python worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it keeps
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Rows in their order, in slices of at most ``limit`` bytes of text or one longer row."""
+    trimmed()
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
@@ -106,6 +117,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             held += int(n)
         if batch.num_rows > start:
             yield batch.slice(start)
+    trimmed()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
