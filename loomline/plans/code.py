@@ -136,7 +136,7 @@ def declarations(spark: SparkSession, _: str) -> DataFrame:
 
 def imports_code(spark: SparkSession, _: str) -> DataFrame:
     """Imports with the names they bind."""
-    return Project(spark, samples.CALLS).relation("import").select("path", "module", F.array_join("names", ",").alias("names"), F.array_join("full", ",").alias("full"), "line")
+    return Project(spark, samples.CALLS).relation("import").select("path", "module", F.array_join("names", ",").alias("names"), F.array_join("full", ",").alias("bound_to"), "line")
 
 
 def functions_code(spark: SparkSession, _: str) -> DataFrame:
@@ -172,7 +172,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "unreachable_code": (unreachable, _values("path, function, line, last_line, statements", [('flows/main.py', 'dead', 53, 54, 2)])),
     "rejected_files": (rejected, _values("path, error", [('branches/broken.py', 'SyntaxError')])),
     "declarations": (declarations, _values("path, kind, name, member, line", [('calls/b.py', 'base', 'K', 'Base', 9), ('calls/b.py', 'class', 'Base', '', 1), ('calls/b.py', 'class', 'K', '', 9)])),
-    "imports_code": (imports_code, _values("path, module, names, full, line", [('calls/a.py', 'calls.b', 'K,helper', 'calls.b.K,calls.b.helper', 1), ('calls/a.py', 'calls.b', 'other', 'calls.b', 2)])),
+    "imports_code": (imports_code, _values("path, module, names, bound_to, line", [('calls/a.py', 'calls.b', 'K,helper', 'calls.b.K,calls.b.helper', 1), ('calls/a.py', 'calls.b', 'other', 'calls.b', 2)])),
     "functions_code": (functions_code, _values("path, name, line, params", [('flows/main.py', 'Job.__init__', 18, 'text'), ('flows/main.py', 'Job.load', 21, ''), ('flows/main.py', 'Job.start', 24, ''), ('flows/main.py', 'always', 37, 'blob'), ('flows/main.py', 'branches', 28, 'flag'), ('flows/main.py', 'dead', 51, ''), ('flows/main.py', 'looped', 44, 'rows'), ('flows/main.py', 'main', 6, ''), ('flows/shell.py', 'down', 30, 'c,n'), ('flows/shell.py', 'fixed', 17, 'c'), ('flows/shell.py', 'quoted', 12, 'c'), ('flows/shell.py', 'read_name', 25, ''), ('flows/shell.py', 'run_cmd', 4, 'c'), ('flows/shell.py', 'same', 21, 'c'), ('flows/shell.py', 'wrapped', 8, 'c')])),
     "node_owners": (node_owners, _values("method, kind, nodes", [('loops', 'control', 2), ('loops', 'param', 1), ('loops', 'return', 1), ('matched', 'control', 1), ('matched', 'param', 1), ('matched', 'return', 1), ('tries', 'call', 2), ('tries', 'control', 1), ('tries', 'param', 1), ('tries', 'return', 1)])),
 }

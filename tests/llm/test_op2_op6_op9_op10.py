@@ -131,6 +131,30 @@ def test_recordings_align(spark):
     assert op10.samples(b"RIFFxx").size == 0 and op10.fingerprint(None).size == 0
 
 
+def test_links_of_every_recording_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, (3, 30))
+    rows = {i: base[i % 3].copy() for i in (0, 1, 2, 3, 4, 20, 21, 40)}
+    rows[3] = base[0] ^ (1 << rng.integers(0, 32, 30))
+    rows[3][5] = base[0][5]
+    rows[7] = np.array([], dtype=np.int64)
+    rows[9] = rng.integers(0, 2**32, 30)
+    marks = spark.createDataFrame([(i, [int(v) for v in m]) for i, m in rows.items()], "id long, marks array<long>")
+    got = {r.id: r for r in op10.linked(marks, marks.where("id % 20 = 0")).collect()}
+    assert set(got) == {i for i in rows if len(rows[i])}
+
+    def alike(a, b):
+        x, y = rows[a], rows[b]
+        return bool((x == y).any()) and np.bitwise_count(x ^ y).sum() / (32 * 30) <= op10.ERRORS
+
+    for i, r in got.items():
+        others = [j for j in got if j != i and (i % 20 == 0 or j % 20 == 0) and alike(i, j)]
+        assert r.links == len(others)
+        assert r.class_id == min(j for j in got if len(rows[i]) == len(rows[j]) and (rows[i] == rows[j]).all())
+    assert got[3].best_id == 0 and got[3].offset == 0 and got[3].component_id == 0 and got[9].best_id is None
+    assert op10.linked(marks.limit(0), marks.limit(0)).collect() == []
+
+
 def test_one_shared_integer_is_enough_however_often_it_is_held(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2**32, 30)
