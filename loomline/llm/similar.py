@@ -3,15 +3,15 @@
 Sets that share a bucket key are candidates. A bucket's members are first compared with
 its least member alone (a star, never all pairs); confirmed links are clustered. Only
 members of one bucket that lie in different components and have not been compared can
-still hold a link; those few are paired in a second step, in large buckets only if they
-share a second key as well. Candidates whose signatures agree in far fewer places than
-two sets as similar as asked for would are left out before their sets are fetched
-(:func:`least_agreeing`: a similar pair is lost with a chance below 1e-9).
-
-A link between different sets is then lost by chance alone: two sets of similarity 0.85
-share no key of 24 bands of 4 values with a chance of 2e-8, and exactly one with 5e-7,
-which counts if that one bucket has more than :data:`PAIRED` members left over; for 0.8 and
-14 bands of 3 values these are 3e-5 and 5e-4.
+still hold a link; those are all paired in a second step, a large bucket's in cells of two
+blocks, whose sets are compared with each other without a row a pair (:func:`_crowded`).
+Other candidates whose signatures agree in far fewer places than two sets as similar as asked
+for would are left out before their sets are fetched (:func:`least_agreeing`: a similar
+pair is lost with a chance below 1e-9).
+
+A link between different sets is then lost only if they share no key: two sets of
+similarity 0.85 share none of 24 bands of 4 values with a chance of 2e-8; for 0.8 and 14
+bands of 3 values it is 4e-5.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from loomline.llm.shared import discard, settled, ship, written
 
 #: Rows, and bytes as stored, of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 8 << 20
-#: Members of a bucket that are paired directly in the second step.
-PAIRED = 40
+#: Members of a bucket that are joined with each other in the second step, and of a block of a larger one.
+PAIRED, BLOCK = 40, 1000
+#: Shingles of a block, about.
+BLOCK_ITEMS = 500_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -79,6 +81,50 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with(pairs, sets, "items").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
 
 
+def _cell(table: pa.Table, percent: int) -> pa.Table:
+    """Links between different components in a cell: its two blocks, or its one block."""
+    block, ids, component = (table.column(c).to_numpy() for c in ("block", "id", "component"))
+    component = component.copy()
+    sets = [np.frombuffer(x, dtype="<u8") for x in table.column("items").to_pylist()]
+    n = np.array([len(x) for x in sets])
+    starts = np.append(0, np.cumsum(n))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = [codes[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, dtype=bool)
+    one = block.min() == block.max()
+    left = np.flatnonzero(block == block.min())
+    right = left if one else np.flatnonzero(block != block.min())
+    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for at, i in enumerate(left):
+        to = right[at + 1 :] if one else right
+        to = to[(component[to] != component[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
+        if not len(to):
+            continue
+        marked[own[i]] = True
+        both = np.add.reduceat(marked[np.concatenate([own[j] for j in to])], np.cumsum(n[to]) - n[to], dtype=np.int64)
+        marked[own[i]] = False
+        to = to[100 * both >= percent * (n[to] + n[i] - both)]
+        a.append(np.full(len(to), ids[i]))
+        b.append(ids[to])
+        # what has become one component needs no link between its members
+        component[np.isin(component, component[to])] = component[i]
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _crowded(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of large buckets that lie in different components.
+
+    A bucket's members are dealt into blocks of about :data:`BLOCK`, fewer if their sets are
+    large; every two blocks, and each one alone, are a cell. All pairs of a cell are compared,
+    so none is left out, and a task holds two blocks however large the bucket is.
+    """
+    blocks = F.ceil(F.greatest(F.col("left") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "block").alias("x"), F.greatest(i, "block").alias("y")))
+    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", F.explode(cells).alias("cell"), "block", "id", "component").join(sets, "id")
+    return dealt.groupBy("key", "cell").applyInArrow(lambda t: _cell(t.select(["block", "id", "component", "items"]), percent), "a long, b long")
+
+
 def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Components of similar units, and the links that were confirmed.
 
@@ -104,28 +150,27 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
 
     # what is left: members of one bucket in different components
     placed = held.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("left")).where("x != y").select("key", "left")
-    rest = written(placed.join(several, "key").select("key", "left", "id", "n", "component"), "rest")
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("left"), F.sum("n").alias("items")).where("x != y").select("key", "left", "items")
+    rest = written(placed.join(several, "key").select("key", "left", "items", "id", "n", "component"), "rest")
     settled(spark, held)
-    direct = rest.where(F.col("left") <= PAIRED).withColumn("second", F.lit(0).cast("long"))
-    large = rest.where(F.col("left") > PAIRED)
-    second = units.select("id", F.explode("keys").alias("second"))
-    large = large.join(second, "id").where("second != key").select(*direct.columns)
-    each = direct.unionByName(large)
-    other = each.select("key", "second", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    more = each.join(other, ["key", "second"]).where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & alike)
-    more = more.select(F.col("id").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
+    each = rest.where(F.col("left") <= PAIRED)
+    other = each.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    direct = each.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & alike)
+    more = direct.select(F.col("id").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = written(more, "pairs")
-    settled(spark, rest, tried)
-    if more.isEmpty():
-        return found, links
-    extra = _linked(more, units, sets_of, percent)
-    discard(more)
-    if extra.isEmpty():
-        discard(extra)
+    large = rest.where(F.col("left") > PAIRED)
+    extra = [] if more.isEmpty() else [_linked(more, units, sets_of, percent)]
+    if not large.isEmpty():
+        sets = written(sets_of(large.select("id").distinct()), "sets")
+        extra.append(written(_crowded(large, sets, percent).distinct(), "links"))
+        settled(spark, sets)
+    settled(spark, rest, tried, more)
+    if all(e.isEmpty() for e in extra):
+        discard(*extra)
         return found, links
     discard(found)
-    links = links.union(extra)
+    for e in extra:
+        links = links.union(e)
     return written(components(links), "components"), links
 
 

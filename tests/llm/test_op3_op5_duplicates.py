@@ -4,12 +4,14 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from loomline.llm import op3_paragraph_dedup as op3
 from loomline.llm import op5_minmax_dedup as op5
-from loomline.llm import similar
+from loomline.llm import shingles, similar
 from loomline.llm.components import components
+from loomline.llm.shared import written
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -147,3 +149,35 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert op5.near_duplicates(docs).collect() == [] and op5.keep_one(docs).collect() == []
     assert op3.removals(docs).collect() == [] and op3.cleaned(docs).collect() == []
+
+
+def crowd(rng: random.Random, many: int) -> dict[int, list[str]]:
+    """Texts that share one run of words, too few to be alike, and some pairs that are."""
+    hub = words(rng, 60)
+    out = {i: hub + words(rng, 90) for i in range(many)}
+    for i in range(0, many, 3):
+        out[many + i] = edited(rng, out[i], 1)
+    return out
+
+
+@pytest.mark.parametrize(("block", "items"), [(1000, 500_000), (7, 500_000), (1000, 900)])
+def test_large_buckets_lose_no_link(spark, block, items, monkeypatch):
+    """Units that share a single key, their own bucket's: no second key can vouch for a pair."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "BLOCK_ITEMS", items)
+    texts = crowd(random.Random(4), 60)
+    sets = {i: np.unique(shingles.hashed([" ".join(w[k : k + 3]).encode() for k in range(len(w) - 2)])) for i, w in texts.items()}
+    hashing = shingles.MinMax(24, 4)
+    rows = []
+    for i, s in sets.items():
+        _, sig = hashing.signed(s, np.array([0]))
+        rows.append((i, len(s), [1], sig[0].tobytes()))
+    units = written(spark.createDataFrame(rows, "id long, n long, keys array<long>, sig binary"), "units")
+    items_df = written(spark.createDataFrame([(i, s.astype("<u8").tobytes()) for i, s in sets.items()], "id long, items binary"), "items")
+    found, _ = similar.clusters(units, lambda ids: items_df.join(ids, "id", "left_semi"), 85)
+    want = {}
+    for a, b in combinations(sorted(sets), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            want[a] = want[b] = a
+    assert len(want) == 40 and {r.node: r.component for r in found.collect()} == want
