@@ -13,6 +13,11 @@ corpus. The plan is made on it:
    sequences of one filling is split only where a real length changes;
 4. the small pieces go, longest first, each into the fullest sequence that takes it.
 
+Best fit of all pieces, step 4 alone, is planned first. Where it takes no more sequences
+than the tokens fill, no plan takes fewer; elsewhere the plan of steps 1 to 4 is made too
+and the one of fewer sequences is used. A histogram of many lengths with small ones among
+them is best fit's; one of few lengths, of which certain ones belong together, is not.
+
 The plan is a list of runs (length, first piece, number, first sequence, offset); it
 grows with the number of lengths and not with the number of pieces. Pieces are
 numbered within a length by salted counts, so a length that a third of all pieces
@@ -43,10 +48,9 @@ from loomline.llm import bpe
 from loomline.llm.shared import gathered, ship, written
 
 CAPACITY, END = 2048, 0
-#: Pieces of more than capacity / SMALL are grouped, into about so many groups. At 2 a
-#: filling holds one grouped piece and room for small ones; 3 and 4 took 0.9 and 0.6 % more
-#: sequences on every histogram tried, as what a group is rounded up by is lost in each slot.
-SMALL, GROUPS = 2, 120
+#: Pieces of more than capacity / SMALL are grouped, into about so many groups: a filling
+#: holds up to SMALL - 1 grouped pieces.
+SMALL, GROUPS = 8, 120
 #: Pieces of one length that are numbered in one task, about.
 NUMBERED = 200_000
 TEXT_BYTES, LONGEST = 3 << 20, 200
@@ -250,7 +254,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     Pieces of a length are numbered from 0. Run by run, piece ``first + i`` lies in
     sequence ``first sequence + i`` at ``offset``.
     """
-    return _plan(histogram, capacity, groups)[0]
+    runs, used = _plan(histogram, capacity, 0)
+    if groups and used * capacity - sum(length * n for length, n in histogram.items()) >= capacity:
+        grouped, n = _plan(histogram, capacity, groups)
+        if n <= used:
+            return grouped
+    return runs
 
 
 def _plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -63,6 +63,17 @@ def test_plan_is_near_the_bound():
     assert len({s + i for _, _, n, s, _ in runs for i in range(n)}) <= best_fit(lengths, 2048)
 
 
+def test_lengths_that_belong_together_meet():
+    # half + e with two quarters, and four quarters: 6 + 3 sequences, where best fit takes 11
+    for many in (1, 100):
+        histogram = {1032: 6 * many, 528: 6 * many, 520: 6 * many, 496: 12 * many}
+        lengths = [length for length, n in histogram.items() for _ in range(n)]
+        assert best_fit(lengths, 2048) == 11 * many
+        runs = op.plan(histogram)
+        assert len({s + i for _, _, n, s, _ in runs for i in range(n)}) == 9 * many
+        assert check_plan(histogram, 2048, op.GROUPS) == 9 * many
+
+
 def test_pieces_and_packing_equal_the_library(spark, monkeypatch):
     monkeypatch.setattr(op, "NUMBERED", 2)  # several salts
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, length string")
