@@ -34,6 +34,9 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -54,42 +57,82 @@ SMALL, GROUPS = 8, 120
 #: Pieces of one length that are numbered in one task, about.
 NUMBERED = 200_000
 TEXT_BYTES, LONGEST = 3 << 20, 200
+#: Words whose ids a process keeps.
+KNOWN = 200_000
 _PARTS = regex.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x00]+|\s+(?!\S)|\s+")
 
 
 
 
+class Known:
+    """Ids of words that come after a space, kept from one block of texts for the next ones.
+
+    A word stays if it was new in two blocks in a row, until :data:`KNOWN` have; the others
+    are merged in each block, so what is kept changes no result.
+    """
+
+    def __init__(self) -> None:
+        self.codes: dict[str, bytes] = {}
+        self.last: set[str] = set()
+
+    def settle(self, new: list[str]) -> None:
+        """Forget the words ``new`` of a block, but for those that stay."""
+        room = KNOWN - (len(self.codes) - len(new))
+        for w in new:
+            if room > 0 and w in self.last:
+                room -= 1
+            else:
+                del self.codes[w]
+        self.last = set(new) if room > 0 else set()
+
+
+@lru_cache(maxsize=1)
+def _known(path: str) -> Known:
+    return Known()
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text by a byte-level BPE, little-endian unsigned 32-bit numbers.
 
     A space or a line break between two characters that are no white space begins a new
     word in any text, so texts of single spaces and breaks are cut there and each
-    distinct word is merged once. Other texts are left to the tokenizers library.
+    distinct word is merged once, a frequent one not again in later blocks. Other texts are left to the tokenizers library.
     """
     merges = bpe.merger(path)
     out: list[bytes] = [b""] * len(texts)
-    cut: list[tuple[int, list[list[str]]]] = []
+    cut: list[tuple[int, list[str], list[int]]] = []
     whole: list[int] = []
     distinct: set[str] = set()
+    heads: set[str] = set()
     for i, t in enumerate(texts):
         if not t:
             continue
         words = t.split()
-        # spaces and breaks part the same words as all white space does: no other, no two in a row, none at the ends
-        if words != t.replace("\n", " ").split(" ") or "\x00" in t or any(s in t for s in merges.specials):
+        # each two words are parted by one character, a space or a break; none is at the ends
+        gaps = len(words) - 1
+        if gaps < 0 or sum(map(len, words)) + gaps != len(t) or t.count(" ") + t.count("\n") != gaps or "\x00" in t or any(s in t for s in merges.specials):
             whole.append(i)
             continue
+        first = [0]
+        for line in t.split("\n")[:-1]:
+            first.append(first[-1] + line.count(" ") + 1)
         distinct.update(words)
-        cut.append((i, [line.split(" ") for line in t.split("\n")]))
+        heads.update([words[k] for k in first])
+        cut.append((i, words, first))
     if cut:
-        bare = list(distinct)
-        heads = {words[0] for _, lines in cut for words in lines}
-        words = [" " + w for w in bare] + list(heads) + ["\n"]
-        code = dict(zip(words, _encode_words(words, path), strict=True))
-        inner = {w: code[" " + w] for w in bare}.__getitem__
-        break_ = code["\n"]
-        for i, lines in cut:
-            out[i] = break_.join([b"".join([code[words[0]], *map(inner, words[1:])]) for words in lines])
+        known = _known(path)
+        bare, begun = list(distinct.difference(known.codes)), list(heads)
+        made = _encode_words([" " + w for w in bare] + begun + ["\n"], path)
+        break_, head = made[-1], dict(zip(begun, made[len(bare) : -1], strict=True))
+        known.codes.update(zip(bare, made, strict=False))
+        inner = known.codes.__getitem__
+        for i, words, first in cut:
+            codes = list(map(inner, words))
+            for k in first:
+                codes[k] = break_ + head[words[k]]
+            codes[0] = head[words[0]]
+            out[i] = b"".join(codes)
+        known.settle(bare)
     if whole:
         for i, e in zip(whole, bpe.library(path).encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
@@ -101,16 +144,19 @@ def _encode_words(words: list[str], path: str) -> list[bytes]:
     easy = bpe.all_plain(words)
     usual = [i for i, w in enumerate(words) if len(w) <= LONGEST and (easy or bpe.plain(w))]
     out: list[bytes] = [b""] * len(words)
-    parts, owners, at = [], [], 0
-    for p in _PARTS.findall("\x00".join([words[i] for i in usual])):
+    # letters alone, after a space or not, are one part
+    single = [(w[1:] if w[0] == " " else w).isalpha() for w in map(words.__getitem__, usual)]
+    usual = [*compress(usual, single), *compress(usual, map(not_, single))]
+    at = sum(single)
+    parts, owners = [words[i].encode() for i in usual[:at]], list(range(at))
+    for p in _PARTS.findall("\x00".join([words[i] for i in usual[at:]])):
         if p == "\x00":
             at += 1
         else:
             parts.append(p.encode())
             owners.append(at)
     ids, starts = merges.merge(parts)
-    sizes = np.zeros(len(usual), dtype=np.int64)
-    np.add.at(sizes, np.array(owners, dtype=np.int64), np.diff(starts))
+    sizes = np.bincount(np.array(owners, dtype=np.int64), np.diff(starts), len(usual)).astype(np.int64)
     ends = (4 * np.cumsum(sizes)).tolist()
     raw, begin = ids.astype("<u4").tobytes(), 0
     for i, end in zip(usual, ends, strict=True):

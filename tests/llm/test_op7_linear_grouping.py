@@ -111,3 +111,18 @@ def test_other_white_space_is_left_to_the_library():
 
 def test_empty_table(spark):
     assert op.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_frequent_words_are_merged_once_and_few_are_kept(monkeypatch):
+    merged = []
+    own = op._encode_words
+    monkeypatch.setattr(op, "_encode_words", lambda words, path: merged.append(words) or own(words, path))
+    monkeypatch.setattr(op, "KNOWN", 4)
+    op._known.cache_clear()
+    library = Tokenizer.from_file(PATH)
+    for i in range(4):
+        texts = [f"the same words come, again, again {i} new{i} don't", f"new{i} a\nb the é{i} 3½", "again\ncome,", "x"]
+        assert [np.frombuffer(e, dtype="<u4").tolist() for e in op.encode_texts(texts, PATH)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(op._known(PATH).codes) == 4 and not op._known(PATH).last
+    assert len(merged[2]) == len(merged[0]) - 4
+    op._known.cache_clear()
