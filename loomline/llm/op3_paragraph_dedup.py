@@ -203,6 +203,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in chunks(batches, "text", TEXT_BYTES):
         lines = Lines(batch.column("text").to_pylist())
         first, end = lines.paragraphs()
@@ -211,6 +212,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.array([i for i, w in enumerate(asked) if w], dtype=np.int64)
         items, starts = lines.sets(first[use], end[use])
         rows = [(asked[i][0], own) for i, key, own in zip(use.tolist(), shingles.set_keys(items, starts), shingles.parts(items, starts), strict=True) if asked[i][1] == key]
+        rows = [r for r in rows if r[0] not in seen and not seen.add(r[0])]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["id", "items"])
 
 
@@ -247,7 +249,7 @@ def _paragraphs_removed(docs: DataFrame, key: str, text: str) -> DataFrame:
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = first.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("place", "id", "set_key")).alias("wanted"))
         of = own.join(small(written(wanted, "wanted")), "doc_id").select("text", "wanted")
-        return of.mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"])
+        return of.mapInArrow(_sets, "id long, items binary")
 
     found, links = clusters(units.select("id", "n", "keys", "sig"), sets_of, PERCENT)
     labels = first.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))

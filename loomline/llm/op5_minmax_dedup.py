@@ -65,13 +65,17 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in chunks(batches, "text", TEXT_BYTES):
         used, items, starts = _texts_sets(batch.column("text").to_pylist(), size)
         out = pa.RecordBatch.from_arrays(
             [batch.column("id").take(pa.array(used)), batch.column("set_key").take(pa.array(used)), pa.array(shingles.set_keys(items, starts), pa.binary()), pa.array(shingles.parts(items, starts), pa.binary())],
             ["id", "set_key", "own_key", "items"],
         )
-        yield out.filter(pa.compute.equal(out.column("set_key"), out.column("own_key"))).select(["id", "items"])
+        out = out.filter(pa.compute.equal(out.column("set_key"), out.column("own_key"))).select(["id", "items"])
+        ids = out.column("id").to_pylist()
+        new = [i not in seen and not seen.add(i) for i in ids]
+        yield out.filter(pa.array(new, pa.bool_()))
 
 
 def _labelled(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
@@ -90,7 +94,7 @@ def _labelled(docs: DataFrame, size: int, percent: int, key: str, text: str) ->
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = written(reps.join(ids, "id", "left_semi"), "wanted")
         of = own.select("doc_id", "text").join(small(wanted), "doc_id").select("text", "id", "set_key")
-        return of.mapInArrow(lambda it: _sets(it, size), "id long, items binary").dropDuplicates(["id"])
+        return of.mapInArrow(lambda it: _sets(it, size), "id long, items binary")
 
     found, links = clusters(units, sets_of, percent)
     labels = reps.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -59,26 +59,84 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least_agreeing(x.shape[1], percent)))
 
 
-def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = batch.column("x"), batch.column("y")
-        keep = []
-        for i in range(batch.num_rows):
-            p, q = np.frombuffer(x[i].as_buffer(), dtype="<u8"), np.frombuffer(y[i].as_buffer(), dtype="<u8")
-            both = shingles.shared(p, q)
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """``pairs`` (a, b) with ``x`` and ``y``, the ``value`` of either."""
     joined = pairs.join(values.select(F.col("id").alias("b"), F.col(value).alias("y")), "b")
     return joined.join(values.select(F.col("id").alias("a"), F.col(value).alias("x")), "a").select("a", "b", "x", "y")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose ``sets`` (id, items) are similar to ``percent`` or more."""
-    return _with(pairs, sets, "items").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
+def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) from rows in order of ``hub``, ``part`` and ``side``: the hub's own set comes before the others."""
+    hub, own = None, np.empty(0, dtype=np.uint64)
+    for batch in batches:
+        a, b = [], []
+        for h, side, i, x in zip(*(batch.column(c).to_pylist() for c in ("hub", "side", "id", "items")), strict=True):
+            q = np.frombuffer(x, dtype="<u8")
+            if not side:
+                hub, own = h, q
+            elif h == hub:
+                both = shingles.shared(own, q)
+                if 100 * both >= percent * (len(own) + len(q) - both):
+                    a.append(h)
+                    b.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), a written table, those whose sets are similar to ``percent`` or more.
+
+    Each pair's ``b`` is sent to its ``a``, so a set is moved once for each pair that it is
+    ``b`` of; an ``a`` with many pairs is dealt into parts of about :data:`BLOCK`.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    to = lambda part, side: F.struct(F.col("a").alias("hub"), part.alias("part"), F.lit(side).alias("side"))
+    hubs = parts.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
+    others = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    roles = hubs.select("id", to(F.col("part"), 0).alias("to")).union(others.select(F.col("b").alias("id"), to(F.col("part"), 1)))
+    roles = written(roles, "roles")
+    sets = sets_of(roles.select("id").distinct())
+    lists = written(roles.groupBy("id").agg(F.collect_list("to").alias("to")), "lists")
+    rows = sets.join(small(lists), "id").select("id", "items", F.explode("to").alias("to")).select("to.*", "id", "items")
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
+    links = written(rows.mapInArrow(lambda it: _verified(it, percent), "a long, b long").distinct(), "links")
+    discard(roles, lists)
+    return links
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of buckets of more than one, from rows in order of ``key`` and ``id``.
+
+    ``lo`` and ``m`` are the bucket's least member and its size of set; ``many`` tells whether
+    the bucket has more than two members.
+    """
+    names = ("key", "id", "n")
+    held = [np.empty(0, dtype=np.int64) for _ in names]
+    begun: tuple[int, int, int] | None = None  # key, least member and its n of a bucket that goes on
+
+    def found(last: bool) -> pa.RecordBatch:
+        nonlocal held, begun
+        key, ids, n = held
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        size = np.diff(np.append(starts, len(key)))
+        lo, m = ids[starts], n[starts]
+        if begun and len(key) and key[0] == begun[0]:
+            (lo[0], m[0]), size[0] = begun[1:], size[0] + 3
+        end = len(key)
+        if len(key) and not last:
+            if size[-1] > 2:
+                begun = (int(key[-1]), int(lo[-1]), int(m[-1]))
+            else:  # one more row may show what it is
+                end = int(starts[-1])
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))[:end]
+        use = np.flatnonzero(size[of] > 1)
+        of, held = of[use], [x[end:] for x in held]
+        columns = [key[use], ids[use], n[use], lo[of], m[of], size[of] > 2]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "lo", "m", "many"])
+
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+        yield found(False)
+    yield found(True)
 
 
 def _cell(table: pa.Table, percent: int) -> pa.Table:
@@ -129,27 +187,25 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     """Components of similar units, and the links that were confirmed.
 
     ``units`` is a written table with distinct ``id``, set size ``n``, ``keys`` and signature
-    ``sig``; ``sets_of`` gives ``id`` and ``items`` (sorted 64-bit numbers) for a table of ids.
+    ``sig``; ``sets_of`` gives ``id`` and ``items`` (sorted 64-bit numbers) for a table of ids, some
+    perhaps more than once.
     Returns (node, component) for units with a link, and links (a, b).
     """
     spark = units.sparkSession
     ship(spark)
-    members = units.select("id", "n", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("size > 1")
-    buckets = written(buckets, "buckets")
+    members = units.select(F.explode("keys").alias("key"), "id", F.col("n").cast("long").alias("n"))
+    members = members.repartition("key").sortWithinPartitions("key", "id")
+    held = written(members.mapInArrow(_together, "key long, id long, n long, lo long, m long, many boolean"), "members")
     settled(spark)
-    crowded = buckets.where("size > 2").select("key", "lo")
+    stars = held.where("id != lo").select(F.col("lo").alias("a"), F.col("m").alias("n"), F.col("id").alias("b"), F.col("n").alias("m"))
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    twos = buckets.where("size = 2").select(F.col("lo.id").alias("a"), F.col("lo.n").alias("n"), F.col("hi.id").alias("b"), F.col("hi.n").alias("m"))
-    held = written(members.join(small(crowded), "key"), "members")
-    stars = held.where("id != lo.id").select(F.col("lo.id").alias("a"), F.col("lo.n").alias("n"), F.col("id").alias("b"), F.col("n").alias("m"))
-    tried = written(twos.union(stars).where(alike).select("a", "b").distinct(), "pairs")
-    settled(spark, buckets)
+    tried = written(stars.where(alike).select("a", "b").distinct(), "pairs")
+    settled(spark)
     links = _linked(tried, units, sets_of, percent)
     found = written(components(links), "components")
 
     # what is left: members of one bucket in different components
-    placed = held.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = held.where("many").drop("m").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("left"), F.sum("n").alias("items")).where("x != y").select("key", "left", "items")
     rest = written(placed.join(several, "key").select("key", "left", "items", "id", "n", "component"), "rest")
     settled(spark, held)
@@ -161,7 +217,7 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     large = rest.where(F.col("left") > PAIRED)
     extra = [] if more.isEmpty() else [_linked(more, units, sets_of, percent)]
     if not large.isEmpty():
-        sets = written(sets_of(large.select("id").distinct()), "sets")
+        sets = written(sets_of(large.select("id").distinct()).dropDuplicates(["id"]), "sets")
         extra.append(written(_crowded(large, sets, percent).distinct(), "links"))
         settled(spark, sets)
     settled(spark, rest, tried, more)
@@ -175,10 +231,11 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
 
 
 def _linked(pairs: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    likely = written(_with(pairs, units, "sig").mapInArrow(lambda it: _likely(it, percent), "a long, b long"), "likely")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sigs = written(units.select("id", "sig").join(small(ids), "id", "left_semi"), "sigs")
+    likely = written(_with(pairs, small(sigs), "sig").mapInArrow(lambda it: _likely(it, percent), "a long, b long"), "likely")
     if likely.isEmpty():
         return likely
-    sets = written(sets_of(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()), "sets")
-    links = written(confirm(likely, sets, percent), "links")
-    settled(pairs.sparkSession, likely, sets)
+    links = confirm(likely, sets_of, percent)
+    settled(pairs.sparkSession, likely, ids, sigs)
     return links
