@@ -92,25 +92,39 @@ class Space:
 
     def __init__(self, sample: Iterable[tuple[str | None, int]]) -> None:
         labels: list[int] = []
-        blocks: list[np.ndarray] = []
+        rows: list[tuple[np.ndarray, np.ndarray]] = []  # a text has few of the terms
         for t, y in sample:
             if t and t.strip():
-                if len(labels) % 512 == 0:
-                    blocks.append(np.zeros((512, TERMS), dtype=np.float32))
-                blocks[-1][len(labels) % 512] = terms(t)
+                own = terms(t)
+                at = np.flatnonzero(own)
+                rows.append((at.astype(np.uint16), own[at]))
                 labels.append(y)
         self.labels = np.array(labels, dtype=np.float64)
-        x = np.concatenate([np.empty((0, TERMS), dtype=np.float32), *blocks])[: len(labels)]
-        del blocks
-        self.weights = np.log((1 + len(labels)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.3
-        x *= self.weights
-        product = np.zeros((TERMS, TERMS))
-        for at in range(0, len(x), 1000):
-            part = x[at : at + 1000].astype(np.float64)
+        held = np.zeros(TERMS, dtype=np.int64)
+        for at, _ in rows:
+            held[at] += 1
+        self.weights = np.log((1 + len(labels)) / (1 + held)).astype(np.float32) + 0.3
+        # terms that no text has would only be zeros in the product, which is held four times
+        use = np.flatnonzero(held)
+        product = np.zeros((len(use), len(use)))
+        for x in self._blocks(rows):
+            part = x[:, use].astype(np.float64)
             product += part.T @ part
         values, vectors = np.linalg.eigh(product)
-        self.axes = np.ascontiguousarray(vectors[:, np.argsort(-values)[:DIMENSIONS]], dtype=np.float32)
-        self.vectors = self.project(x)
+        del product
+        leading = np.argsort(-values)[:DIMENSIONS]
+        self.axes = np.zeros((TERMS, DIMENSIONS), dtype=np.float32)
+        self.axes[use, : len(leading)] = vectors[:, leading]
+        del vectors
+        self.vectors = np.concatenate([np.empty((0, DIMENSIONS), dtype=np.float32), *map(self.project, self._blocks(rows))])
+
+    def _blocks(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """Weighted terms of a few rows at a time."""
+        for first in range(0, len(rows), 512):
+            x = np.zeros((len(rows[first : first + 512]), TERMS), dtype=np.float32)
+            for own, (at, value) in zip(x, rows[first : first + 512], strict=True):
+                own[at] = value
+            yield x * self.weights
 
     def project(self, weighted: np.ndarray) -> np.ndarray:
         y = weighted @ self.axes

@@ -56,9 +56,9 @@ CAPACITY, END = 2048, 0
 SMALL, GROUPS = 8, 120
 #: Pieces of one length that are numbered in one task, about.
 NUMBERED = 200_000
-TEXT_BYTES, LONGEST = 3 << 20, 200
+TEXT_BYTES, LONGEST = 2 << 20, 200
 #: Words whose ids a process keeps.
-KNOWN = 200_000
+KNOWN = 150_000
 _PARTS = regex.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x00]+|\s+(?!\S)|\s+")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -87,3 +88,16 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "x")], docs.schema)
     assert [r.score for r in op4.quality(one, labels).collect()] == [0.5]
     assert op8.toxicity(one, labels).first().predicted == 0
+
+
+def test_training_holds_little_memory():
+    rng = random.Random(9)
+    texts = [" ".join(prose(rng, 400)) for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        space = op4.Space((t, i % 2) for i, t in enumerate(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(space.labels) == 1500 and space.vectors.shape == (1500, op4.DIMENSIONS)
+    assert peak < 40e6
