@@ -14,9 +14,10 @@ windows whose least hash of :data:`GRAM` words comes twice are looked at: equal
 have the same one, so none is lost. A window that overlaps the first one is no repetition.
 
 Defined results: null texts stay null and lose nothing; an empty table gives an empty
-table; repeated rows of one id are one document for the question which paragraph stays,
-so each of them keeps or loses the same ones; a row whose id is null keeps its text;
-columns besides key, text and n_chars pass through, whatever they are called.
+table; repeated rows of one id and text are one document for the question which paragraph
+stays, so each of them keeps or loses the same ones; different texts of one id are documents
+of their own; a row whose id is null keeps its text; columns besides key, text and n_chars
+pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -196,10 +197,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sigs = hashing.signed(items, starts)
         n = np.diff(np.append(starts, len(items)))
         columns = [
-            batch.column("doc_id").take(pa.array(lines.row[first])), pa.array(lines.place(first).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(n),
+            batch.column("doc_id").take(pa.array(lines.row[first])), batch.column("version").take(pa.array(lines.row[first])), pa.array(lines.place(first).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(n),
             pa.array(shingles.set_keys(items, starts), pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "lines", "n", "set_key", "keys", "sig"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "place", "lines", "n", "set_key", "keys", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,46 +231,47 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     lines = _paragraphs_removed(docs, key, text)
     parts = _passages_removed(docs, lines, key, text).withColumn("component_id", F.xxhash64("kept_doc_id", "kept_place"))
-    return lines.unionByName(parts.drop("version"), allowMissingColumns=True).distinct()
+    return lines.unionByName(parts, allowMissingColumns=True).drop("version").distinct()
 
 
 def _paragraphs_removed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines of repeated paragraphs; ``version`` tells texts of one id apart."""
     spark = docs.sparkSession
     ship(spark)
     own = _texts(docs, key, text)
-    kinds = "doc_id long, place int, lines int, n long, set_key binary, keys array<long>, sig binary"
-    signed = written(own.select("doc_id", "text").mapInArrow(_signed, kinds), "paragraphs")
-    units = signed.groupBy("set_key").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "keys", "sig")])
-    units = units.select("set_key", "at.doc_id", "at.place", "times", "n", "keys", "sig", F.monotonically_increasing_id().alias("id"))
+    kinds = "doc_id long, version long, place int, lines int, n long, set_key binary, keys array<long>, sig binary"
+    signed = written(own.mapInArrow(_signed, kinds), "paragraphs")
+    units = signed.groupBy("set_key").agg(F.min(F.struct("doc_id", "place", "version")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "keys", "sig")])
+    units = units.select("set_key", "at.doc_id", "at.place", "at.version", "times", "n", "keys", "sig", F.monotonically_increasing_id().alias("id"))
     units = written(units, "units")
-    first = units.select("set_key", "doc_id", "place", "times", "id")
-    rows = written(signed.select("doc_id", "place", "lines", "set_key"), "rows")
+    first = units.select("set_key", "doc_id", "place", "version", "times", "id")
+    rows = written(signed.select("doc_id", "version", "place", "lines", "set_key"), "rows")
     settled(spark, signed)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = first.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("place", "id", "set_key")).alias("wanted"))
-        of = own.join(small(written(wanted, "wanted")), "doc_id").select("text", "wanted")
+        wanted = first.join(ids, "id", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("place", "id", "set_key")).alias("wanted"))
+        of = own.join(small(written(wanted, "wanted")), ["doc_id", "version"]).select("text", "wanted")
         return of.mapInArrow(_sets, "id long, items binary")
 
     found, links = clusters(units.select("id", "n", "keys", "sig"), sets_of, PERCENT)
     labels = first.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    kept = labels.groupBy("component_id").agg(F.min(F.struct("doc_id", "place")).alias("kept"), F.sum("times").alias("all")).where("all > 1")
+    kept = labels.groupBy("component_id").agg(F.min(F.struct("doc_id", "place", "version")).alias("kept"), F.sum("times").alias("all")).where("all > 1")
     repeated = written(labels.select("set_key", "component_id").join(kept, "component_id").select("set_key", "component_id", "kept"), "repeated")
     settled(spark, units, found, links)
     hit = rows.join(small(repeated), "set_key")
-    hit = hit.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("place") != F.col("kept.place")))
+    hit = hit.where(F.struct("doc_id", "place", "version") != F.col("kept"))
     place = F.explode(F.sequence("place", F.col("place") + F.col("lines") - 1)).alias("place")
-    hit = hit.select("doc_id", place, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place"), "component_id")
+    hit = hit.select("doc_id", "version", place, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place"), "component_id")
     out = written(hit.distinct(), "lines")
     settled(spark, rows, repeated)
     return out
 
 
 def _passages_removed(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
-    """Verbatim passages that repeat in what is left without ``lines``; ``version`` tells texts of one id apart."""
-    gone = lines.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+    """Verbatim passages that repeat in what is left without ``lines``."""
+    gone = lines.groupBy("doc_id", "version").agg(F.collect_set("place").alias("gone"))
     own = _texts(docs, key, text).where("text != ''")
-    own = own.join(small(written(gone, "gone")), "doc_id", "left").select("doc_id", "version", "text", "gone")
+    own = own.join(small(written(gone, "gone")), ["doc_id", "version"], "left").select("doc_id", "version", "text", "gone")
     spark = docs.sparkSession
     seeds = written(own.mapInArrow(_seeds, "doc_id long, version long, seed long, times long"), "seeds")
     twice = written(seeds.groupBy("seed").agg(F.sum("times").alias("times")).where("times > 1").select("seed"), "twice")
@@ -304,14 +306,15 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", length: st
     ``length``, if ``docs`` has it, becomes the text's new number of characters.
     """
     removed = _paragraphs_removed(docs, key, text)
-    gone = removed.groupBy(F.col("doc_id").alias("gone_key")).agg(F.collect_set("place").alias("gone_places"))
+    gone = removed.groupBy(F.col("doc_id").alias("gone_key"), F.col("version").alias("gone_version")).agg(F.collect_set("place").alias("gone_places"))
     gone = small(written(gone, "gone"))
     parts = _passages_removed(docs, removed, key, text)
     part = F.struct("place", "start", "stop")
     parts = parts.groupBy(F.col("doc_id").alias("part_key"), F.col("version").alias("part_version")).agg(F.reverse(F.array_sort(F.collect_list(part))).alias("gone_parts"))
     parts = small(written(parts, "parts"))
-    joined = docs.join(gone, docs[key] == F.col("gone_key"), "left")
-    joined = joined.join(parts, (docs[key] == F.col("part_key")) & (F.xxhash64(docs[text].cast("string")) == F.col("part_version")), "left")
+    version = F.xxhash64(docs[text].cast("string"))
+    joined = docs.join(gone, (docs[key] == F.col("gone_key")) & (version == F.col("gone_version")), "left")
+    joined = joined.join(parts, (docs[key] == F.col("part_key")) & (version == F.col("part_version")), "left")
     empty = F.array().cast("array<int>")
     whole = F.array_union(F.coalesce("gone_places", empty), F.coalesce(F.transform(F.filter("gone_parts", lambda c: c["start"].isNull()), lambda c: c["place"]), empty))
     cut = F.coalesce("gone_parts", F.array().cast("array<struct<place:int,start:int,stop:int>>"))

@@ -31,3 +31,14 @@ def test_stages_find_every_copy_in_a_large_bucket(spark, one_bucket):
     assert sorted(r.doc_id for r in corpus_pipeline.single(spark, docs, "").collect()) == sorted(own)
     left = {r.doc_id: r.text for r in corpus_pipeline.unrepeated(spark, docs, "").collect()}
     assert left == {**{i: " ".join(w) for i, w in own.items()}, **dict.fromkeys(near, "")}
+
+
+def test_texts_of_a_repeated_id_are_all_compared(spark):
+    """Two paragraphs at the same place of one id's texts: each is a candidate, none is lost with the other."""
+    rng = random.Random(6)
+    p, q, r = (["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)] for _ in range(3))
+    near = lambda w, i: " ".join([*w[:i], "other", *w[i + 1 :]])
+    rows = [(1, " ".join(p)), (2, " ".join(q)), (2, near(p, 45)), (2, " ".join(r)), (3, near(q, 40)), (3, near(r, 41)), (4, near(r, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(x.doc_id, x.text) for x in corpus_pipeline.unrepeated(spark, docs, "").collect()]
+    assert sorted(left) == sorted([*rows[:2], (2, ""), rows[3], (3, ""), (3, ""), (4, "")])
