@@ -2,7 +2,7 @@
 
 Two steps. First paragraphs: a line of :data:`LEAST_WORDS` words or more, or shorter lines
 up to a blank or a long one, together. Those of so many words are reduced to sets of
-five-word shingles; equal sets are put together by a 128-bit key; the others meet in the
+five-word shingles; equal sets have the same 64-bit number; the others meet in the
 buckets of their signatures, tuned for recall: 14 bands of 3 values let two paragraphs of
 similarity 0.8 miss each other with a chance of 4e-5. Colliding paragraphs are confirmed by
 their exact Jaccard similarity and clustered by connected components. Of each cluster the
@@ -41,6 +41,8 @@ LEAST_WORDS, SIZE, PERCENT = 20, 5, 80
 PASSAGE, GRAM = 50, 25
 BANDS, ROWS = 14, 3
 TEXT_BYTES = 2 << 20
+#: Bits of a bitmap for each text that it marks, and of one at most.
+BITS, MOST_BITS = 16, 1 << 26
 _WORD = re.compile(r"[^\t\n\x0b\f\r ]+")
 
 
@@ -158,12 +160,46 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "word", "line", "window"])
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places that repeat a window, from rows in order of ``window``, ``doc_id``, ``word`` and ``version``: its first row stays."""
+    held = None  # the first row of a window that goes on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(c).to_numpy() for c in ("window", "doc_id", "word", "version", "line")]
+        if held:
+            own = [np.append(h, c) for h, c in zip(held, own, strict=True)]
+        window, doc, word, version, line = own
+        starts = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        held = [c[starts[-1:]] for c in own]
+        of = np.repeat(starts, np.diff(starts, append=len(window)))
+        use = np.flatnonzero((doc != doc[of]) | (version != version[of]) | (word >= word[of] + PASSAGE))
+        columns = [doc[use], version[use], word[use], doc[of[use]], line[of[use]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "version", "word", "kept_doc_id", "kept_place"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of hits with one entry for ``many`` words in a row that repeat the same line."""
+    for batch in batches:
+        lists = batch.column("hits")
+        row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+        flat = lists.flatten()
+        word, doc, place = (flat.field(c).to_numpy() for c in ("word", "kept_doc_id", "kept_place"))
+        order = np.lexsort((word, row))
+        row, word, doc, place = (c[order] for c in (row, word, doc, place))
+        starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (word[1:] > word[:-1] + 1) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))[: len(row)])
+        many = word[np.append(starts[1:], len(row))[: len(starts)] - 1] - word[starts] + 1
+        entries = pa.StructArray.from_arrays([pa.array(c) for c in (word[starts], many, doc[starts], place[starts])], ["word", "many", "kept_doc_id", "kept_place"])
+        ends = pa.array(np.searchsorted(row[starts], np.arange(batch.num_rows + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.ListArray.from_arrays(ends, entries)], ["doc_id", "version", "hits"])
+
+
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "version", "place", "start", "stop", "kept_doc_id", "kept_place")])
     for batch in chunks(batches, "text", TEXT_BYTES):
         rows = []
         for d, v, t, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text", "hits")), strict=True):
-            hits = sorted((h["word"], h["kept_doc_id"], h["kept_place"]) for h in hits)
+            hits = sorted((h["word"] + k, h["kept_doc_id"], h["kept_place"]) for h in hits for k in range(h["many"]))
             at, first = np.array([h[0] for h in hits]), Lines([t]).word
             ends = at + PASSAGE
             touched = np.zeros(len(first), dtype=np.int64)  # lines that some passage lies in
@@ -188,6 +224,11 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], schema=schema)
 
 
+def _numbers(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set, the same for equal ones."""
+    return np.frombuffer(b"".join(k[:8] for k in shingles.set_keys(items, starts)), dtype="<i8")
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashing = _hashing()
     for batch in chunks(batches, "text", TEXT_BYTES):
@@ -198,9 +239,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.append(starts, len(items)))
         columns = [
             batch.column("doc_id").take(pa.array(lines.row[first])), batch.column("version").take(pa.array(lines.row[first])), pa.array(lines.place(first).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(n),
-            pa.array(shingles.set_keys(items, starts), pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary()),
+            pa.array(_numbers(items, starts)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "place", "lines", "n", "set_key", "keys", "sig"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "place", "lines", "n", "id", "keys", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +249,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text", TEXT_BYTES):
         lines = Lines(batch.column("text").to_pylist())
         first, end = lines.paragraphs()
-        wanted = [{w["place"]: (w["id"], w["set_key"]) for w in ws} for ws in batch.column("wanted").to_pylist()]
-        asked = [wanted[r].get(p) for r, p in zip(lines.row[first].tolist(), lines.place(first).tolist(), strict=True)]
-        use = np.array([i for i, w in enumerate(asked) if w], dtype=np.int64)
+        wanted = [{(w["place"], w["id"]) for w in ws} for ws in batch.column("wanted").to_pylist()]
+        places = [{p for p, _ in w} for w in wanted]
+        row, place = lines.row[first], lines.place(first)
+        use = np.array([i for i, (r, p) in enumerate(zip(row.tolist(), place.tolist(), strict=True)) if p in places[r]], dtype=np.int64)
         items, starts = lines.sets(first[use], end[use])
-        rows = [(asked[i][0], own) for i, key, own in zip(use.tolist(), shingles.set_keys(items, starts), shingles.parts(items, starts), strict=True) if asked[i][1] == key]
-        rows = [r for r in rows if r[0] not in seen and not seen.add(r[0])]
+        own = zip(row[use].tolist(), place[use].tolist(), _numbers(items, starts).tolist(), shingles.parts(items, starts), strict=True)
+        rows = [(i, x) for r, p, i, x in own if (p, i) in wanted[r] and i not in seen and not seen.add(i)]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["id", "items"])
 
 
@@ -222,6 +264,46 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return own.where("doc_id IS NOT NULL").withColumn("version", F.xxhash64("text"))
 
 
+def _perhaps(lists: DataFrame) -> Column:
+    """Whether a text may be one of ``lists``, a written table: true for all of them and for few others.
+
+    The executors get a bitmap of hashes of :data:`BITS` bits a text of ``lists``, :data:`MOST_BITS` at most.
+    """
+    spark = lists.sparkSession
+    bits = min(MOST_BITS, 1 << max(16, (BITS * lists.count()).bit_length()))
+    at = F.xxhash64("doc_id", "version").bitwiseAND(F.lit(bits - 1).cast("long"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(bits // 8, dtype=np.uint8)
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            np.bitwise_or.at(marks, own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+
+    row = lists.select(at.alias("at")).repartition(1).mapInArrow(marked, "marks binary").first()
+    shared = spark.sparkContext.broadcast(bytes(row.marks) if row else bytes(bits // 8))
+
+    def has(at: pa.Array) -> pa.Array:
+        own = at.to_numpy(zero_copy_only=False)
+        return pa.array(np.frombuffer(shared.value, dtype=np.uint8)[own >> 3] >> (own & 7).astype(np.uint8) & 1 == 1)
+
+    return F.arrow_udf(has, "boolean")(at)
+
+
+def _with(own: DataFrame, lists: DataFrame, every: bool = False) -> DataFrame:
+    """Texts with their row of ``lists``, a written table of one row a doc_id and version; ``every``: others too, with nulls.
+
+    Where ``lists`` is too large for a broadcast, a text that has no row there is not shuffled.
+    """
+    near = small(lists)
+    if near is not lists:
+        return own.join(near, ["doc_id", "version"], "left" if every else "inner")
+    perhaps = _perhaps(lists)
+    found = own.where(perhaps).join(lists, ["doc_id", "version"], "left" if every else "inner")
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in lists.schema if f.name not in ("doc_id", "version")]
+    return found.union(own.where(~perhaps).select("doc_id", "version", *(c for c in own.columns if c not in ("doc_id", "version")), *others)) if every else found
+
+
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each line, or part of a line, that repeats an earlier place.
 
@@ -239,31 +321,27 @@ def _paragraphs_removed(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     own = _texts(docs, key, text)
-    kinds = "doc_id long, version long, place int, lines int, n long, set_key binary, keys array<long>, sig binary"
+    kinds = "doc_id long, version long, place int, lines int, n long, id long, keys array<long>, sig binary"
     signed = written(own.mapInArrow(_signed, kinds), "paragraphs")
-    units = signed.groupBy("set_key").agg(F.min(F.struct("doc_id", "place", "version")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "keys", "sig")])
-    units = units.select("set_key", "at.doc_id", "at.place", "at.version", "times", "n", "keys", "sig", F.monotonically_increasing_id().alias("id"))
-    units = written(units, "units")
-    first = units.select("set_key", "doc_id", "place", "version", "times", "id")
-    rows = written(signed.select("doc_id", "version", "place", "lines", "set_key"), "rows")
-    settled(spark, signed)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = first.join(ids, "id", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("place", "id", "set_key")).alias("wanted"))
-        of = own.join(small(written(wanted, "wanted")), ["doc_id", "version"]).select("text", "wanted")
-        return of.mapInArrow(_sets, "id long, items binary")
-
-    found, links = clusters(units.select("id", "n", "keys", "sig"), sets_of, PERCENT)
-    labels = first.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    kept = labels.groupBy("component_id").agg(F.min(F.struct("doc_id", "place", "version")).alias("kept"), F.sum("times").alias("all")).where("all > 1")
-    repeated = written(labels.select("set_key", "component_id").join(kept, "component_id").select("set_key", "component_id", "kept"), "repeated")
-    settled(spark, units, found, links)
-    hit = rows.join(small(repeated), "set_key")
-    hit = hit.where(F.struct("doc_id", "place", "version") != F.col("kept"))
+        first = signed.select("id", "doc_id", "version", "place").join(small(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "place", "version")).alias("at"))
+        wanted = first.groupBy("at.doc_id", "at.version").agg(F.collect_list(F.struct("at.place", "id")).alias("wanted"))
+        return _with(own, written(wanted, "wanted")).select("text", "wanted").mapInArrow(_sets, "id long, items binary")
+
+    found, links = clusters(signed.select("id", "n", "keys", "sig"), sets_of, PERCENT)
+    twice = signed.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")
+    marked = twice.join(found.withColumnRenamed("node", "id"), "id", "full").select("id", F.coalesce("component", "id").alias("component_id"))
+    marked = written(marked, "marked")
+    settled(spark, found, links)
+    several = written(signed.select("id", "doc_id", "version", "place", "lines").join(small(marked), "id").drop("id"), "several")
+    settled(spark, signed, marked)
+    kept = written(several.groupBy("component_id").agg(F.min(F.struct("doc_id", "place", "version")).alias("kept")), "kept")
+    hit = several.join(small(kept), "component_id").where(F.struct("doc_id", "place", "version") != F.col("kept"))
     place = F.explode(F.sequence("place", F.col("place") + F.col("lines") - 1)).alias("place")
     hit = hit.select("doc_id", "version", place, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place"), "component_id")
     out = written(hit.distinct(), "lines")
-    settled(spark, rows, repeated)
+    settled(spark, several, kept)
     return out
 
 
@@ -271,32 +349,28 @@ def _passages_removed(docs: DataFrame, lines: DataFrame, key: str, text: str) ->
     """Verbatim passages that repeat in what is left without ``lines``."""
     gone = lines.groupBy("doc_id", "version").agg(F.collect_set("place").alias("gone"))
     own = _texts(docs, key, text).where("text != ''")
-    own = own.join(small(written(gone, "gone")), ["doc_id", "version"], "left").select("doc_id", "version", "text", "gone")
+    own = _with(own, written(gone, "gone"), every=True).select("doc_id", "version", "text", "gone")
     spark = docs.sparkSession
     seeds = written(own.mapInArrow(_seeds, "doc_id long, version long, seed long, times long"), "seeds")
     twice = written(seeds.groupBy("seed").agg(F.sum("times").alias("times")).where("times > 1").select("seed"), "twice")
     again = written(seeds.join(small(twice), "seed").select("doc_id", "version", "seed").distinct(), "repeated-seeds")
     settled(spark, seeds, twice)
 
-    def with_text(of: DataFrame, value: Column, name: str) -> DataFrame:
-        lists = written(of.groupBy("doc_id", "version").agg(F.collect_list(value).alias(name)), name)
-        return own.join(small(lists), ["doc_id", "version"])
-
-    every = with_text(again, F.col("seed"), "seeds").mapInArrow(_windows, "doc_id long, version long, word long, line int, window long")
-    every = written(every, "windows")
-    settled(spark, again)
-    first = every.groupBy("window").agg(F.min(F.struct("doc_id", "word", "version", "line")).alias("at"), F.count("*").alias("times")).where("times > 1")
-    first = written(first.select("window", "at"), "first")
-    other = (F.col("doc_id") != F.col("at.doc_id")) | (F.col("version") != F.col("at.version")) | (F.col("word") >= F.col("at.word") + PASSAGE)
-    hits = every.join(first, "window").where(other)
-    hits = written(hits.select("doc_id", "version", "word", F.col("at.doc_id").alias("kept_doc_id"), F.col("at.line").alias("kept_place")).distinct(), "hits")
-    settled(spark, every, first)
+    seeds = written(again.groupBy("doc_id", "version").agg(F.collect_list("seed").alias("seeds")), "seeds")
+    every = _with(own, seeds).mapInArrow(_windows, "doc_id long, version long, word long, line int, window long")
+    every = every.repartition("window").sortWithinPartitions("window", "doc_id", "word", "version")
+    hits = written(every.mapInArrow(_later, "doc_id long, version long, word long, kept_doc_id long, kept_place int"), "hits")
+    settled(spark, again, seeds)
+    lists = hits.groupBy("doc_id", "version").agg(F.collect_list(F.struct("word", "kept_doc_id", "kept_place")).alias("hits"))
+    kinds = "doc_id long, version long, hits array<struct<word:long,many:long,kept_doc_id:long,kept_place:int>>"
+    runs = written(lists.mapInArrow(_runs, kinds), "runs")
+    settled(spark, hits)
     schema = "doc_id long, version long, place long, start long, stop long, kept_doc_id long, kept_place long"
-    cuts = with_text(hits, F.struct("word", "kept_doc_id", "kept_place"), "hits").select("doc_id", "version", "text", "hits").mapInArrow(_cuts, schema)
+    cuts = _with(own, runs).select("doc_id", "version", "text", "hits").mapInArrow(_cuts, schema)
     for c in ("place", "start", "stop", "kept_place"):
         cuts = cuts.withColumn(c, F.col(c).cast("int"))
     out = written(cuts.distinct(), "passages")
-    settled(spark, hits)
+    settled(spark, runs)
     return out
 
 

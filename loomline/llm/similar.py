@@ -93,13 +93,11 @@ def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     hubs = parts.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
     others = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     roles = hubs.select("id", to(F.col("part"), 0).alias("to")).union(others.select(F.col("b").alias("id"), to(F.col("part"), 1)))
-    roles = written(roles, "roles")
-    sets = sets_of(roles.select("id").distinct())
     lists = written(roles.groupBy("id").agg(F.collect_list("to").alias("to")), "lists")
-    rows = sets.join(small(lists), "id").select("id", "items", F.explode("to").alias("to")).select("to.*", "id", "items")
+    rows = sets_of(lists.select("id")).join(small(lists), "id").select("id", "items", F.explode("to").alias("to")).select("to.*", "id", "items")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
     links = written(rows.mapInArrow(lambda it: _verified(it, percent), "a long, b long").distinct(), "links")
-    discard(roles, lists)
+    discard(lists)
     return links
 
 
@@ -107,7 +105,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of buckets of more than one, from rows in order of ``key`` and ``id``.
 
     ``lo`` and ``m`` are the bucket's least member and its size of set; ``many`` tells whether
-    the bucket has more than two members.
+    the bucket has more than two members. Repeated rows of a member count once.
     """
     names = ("key", "id", "n")
     held = [np.empty(0, dtype=np.int64) for _ in names]
@@ -133,8 +131,14 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [key[use], ids[use], n[use], lo[of], m[of], size[of] > 2]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "lo", "m", "many"])
 
+    before: tuple[int, int] | None = None  # key and id of the last row
     for batch in batches:
-        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+        if not batch.num_rows:
+            continue
+        own = [batch.column(c).to_numpy() for c in names]
+        new = np.append((own[0][0], own[1][0]) != before, (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1]))
+        before = own[0][-1], own[1][-1]
+        held = [np.concatenate([h, c[new]]) for h, c in zip(held, own, strict=True)]
         yield found(False)
     yield found(True)
 
@@ -186,9 +190,9 @@ def _crowded(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Components of similar units, and the links that were confirmed.
 
-    ``units`` is a written table with distinct ``id``, set size ``n``, ``keys`` and signature
-    ``sig``; ``sets_of`` gives ``id`` and ``items`` (sorted 64-bit numbers) for a table of ids, some
-    perhaps more than once.
+    ``units`` is a written table with ``id``, set size ``n``, ``keys`` and signature ``sig``,
+    equal in all rows of one id; ``sets_of`` gives ``id`` and ``items`` (sorted 64-bit numbers)
+    for a written table of distinct ids, some perhaps more than once.
     Returns (node, component) for units with a link, and links (a, b).
     """
     spark = units.sparkSession
@@ -217,9 +221,10 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     large = rest.where(F.col("left") > PAIRED)
     extra = [] if more.isEmpty() else [_linked(more, units, sets_of, percent)]
     if not large.isEmpty():
-        sets = written(sets_of(large.select("id").distinct()).dropDuplicates(["id"]), "sets")
+        ids = written(large.select("id").distinct(), "ids")
+        sets = written(sets_of(ids).dropDuplicates(["id"]), "sets")
         extra.append(written(_crowded(large, sets, percent).distinct(), "links"))
-        settled(spark, sets)
+        settled(spark, sets, ids)
     settled(spark, rest, tried, more)
     if all(e.isEmpty() for e in extra):
         discard(*extra)
@@ -232,7 +237,7 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
 
 def _linked(pairs: DataFrame, units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sigs = written(units.select("id", "sig").join(small(ids), "id", "left_semi"), "sigs")
+    sigs = written(units.select("id", "sig").join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "sigs")
     likely = written(_with(pairs, small(sigs), "sig").mapInArrow(lambda it: _likely(it, percent), "a long, b long"), "likely")
     if likely.isEmpty():
         return likely

@@ -181,3 +181,48 @@ def test_large_buckets_lose_no_link(spark, block, items, monkeypatch):
         if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
             want[a] = want[b] = a
     assert len(want) == 40 and {r.node: r.component for r in found.collect()} == want
+
+
+@pytest.fixture
+def no_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_repetitions_are_not_shuffled(spark, no_broadcasts):
+    """Even where lists are too large for a broadcast, texts that have no part in any stay where they are."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, 8000))) for i in range(60)]
+    copy, passage = " ".join(words(rng, 90)), " ".join(words(rng, 70))
+    rows += [(100, copy), (101, copy), (102, f"{passage} {rows[0][1][:300]}"), (103, f"{rows[1][1][:300]} {passage}")]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    before = shuffled(spark)
+    got = {r.doc_id for r in op3.removals(docs).collect()}
+    assert got == {101, 102, 103}
+    assert shuffled(spark) - before < sum(len(t) for _, t in rows)
+
+
+def test_results_do_not_depend_on_batches(spark, no_broadcasts, monkeypatch):
+    rng = random.Random(10)
+    base = [words(rng, 90) for _ in range(12)]
+    rows = [(i, "\n".join(" ".join(edited(rng, base[rng.randrange(12)], rng.randrange(3))) for _ in range(3))) for i in range(40)]
+    rows += [(50 + i, " ".join(words(rng, 30) + base[i][:55 + i] + words(rng, 30))) for i in range(12)] + rows[:5]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    want = sorted(op3.removals(docs).drop("component_id").collect(), key=str)
+    assert len(want) > 90 and any(r.start is not None for r in want)
+    monkeypatch.setattr(op3, "MOST_BITS", 8)  # texts are marked in vain
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(op3.removals(docs).drop("component_id").collect(), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
